@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.common import read_table
+from quern.llm.packing import pack_documents
+from quern.llm.substring_dedup import duplicate_units
 from quern.llm.token_counts import token_counts
 
 
@@ -14,8 +16,20 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 1024)
 
 
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"), "word_bpe_49k.json", 2048, 1)
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_units(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts}
+    return {
+        "op1_token_counts": op1_token_counts,
+        "op4_pack": op4_pack,
+        "op9_substring_dedup": op9_substring_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
