@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.common import read_table
 from quern.llm.packing import pack_documents
+from quern.llm.pii import find_pii
 from quern.llm.substring_dedup import duplicate_units
 from quern.llm.token_counts import token_counts
 
@@ -24,11 +25,16 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_units(read_table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op4_pack": op4_pack,
         "op9_substring_dedup": op9_substring_dedup,
+        "op10_pii": op10_pii,
     }
 
 
