@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.common import read_table
+from quern.llm.media_avi import media_digests
 from quern.llm.packing import pack_documents
 from quern.llm.pii import find_pii
 from quern.llm.substring_dedup import duplicate_units
@@ -21,6 +22,10 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), "word_bpe_49k.json", 2048, 1)
 
 
+def op6_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_units(read_table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op4_pack": op4_pack,
+        "op6_media_avi": op6_media_avi,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_pii": op10_pii,
     }
