@@ -10,6 +10,7 @@ from quern.llm.common import read_table
 from quern.llm.media_avi import media_digests
 from quern.llm.packing import pack_documents
 from quern.llm.pii import find_pii
+from quern.llm.quality_crf import score_quality
 from quern.llm.substring_dedup import duplicate_units
 from quern.llm.token_counts import token_counts
 
@@ -26,6 +27,10 @@ def op6_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_units(read_table(spark, sf_dir, "documents"))
 
@@ -39,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op4_pack": op4_pack,
         "op6_media_avi": op6_media_avi,
+        "op7_quality": op7_quality,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_pii": op10_pii,
     }
