@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.common import read_table
+from quern.llm.license_scan import scan_licenses
 from quern.llm.media_avi import media_digests
 from quern.llm.packing import pack_documents
 from quern.llm.pii import find_pii
@@ -19,6 +20,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 1024)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), "word_bpe_49k.json", 2048, 1)
 
@@ -42,6 +47,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_license_scan": op2_license_scan,
         "op4_pack": op4_pack,
         "op6_media_avi": op6_media_avi,
         "op7_quality": op7_quality,
