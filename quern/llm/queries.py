@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.common import read_table
+from quern.llm.decontaminate import contaminated
 from quern.llm.license_scan import scan_licenses
 from quern.llm.media_avi import media_digests
 from quern.llm.packing import pack_documents
@@ -24,6 +25,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), "word_bpe_49k.json", 2048, 1)
 
@@ -48,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_license_scan": op2_license_scan,
+        "op3_decontaminate": op3_decontaminate,
         "op4_pack": op4_pack,
         "op6_media_avi": op6_media_avi,
         "op7_quality": op7_quality,
