@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm.common import read_table
 from quern.llm.decontaminate import contaminated
 from quern.llm.license_scan import scan_licenses
+from quern.llm.line_dedup import duplicate_lines
 from quern.llm.media_avi import media_digests
 from quern.llm.packing import pack_documents
 from quern.llm.pii import find_pii
@@ -33,6 +34,10 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), "word_bpe_49k.json", 2048, 1)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_lines(read_table(spark, sf_dir, "documents"))
+
+
 def op6_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(read_table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_license_scan": op2_license_scan,
         "op3_decontaminate": op3_decontaminate,
         "op4_pack": op4_pack,
+        "op5_line_dedup": op5_line_dedup,
         "op6_media_avi": op6_media_avi,
         "op7_quality": op7_quality,
         "op9_substring_dedup": op9_substring_dedup,
