@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +22,13 @@ from pyspark.sql import DataFrame
 WINDOW = 2048
 END_ID = 1
 #: Word encodings that a worker keeps; the table starts anew when it is full.
-CACHE_WORDS = 400_000
-#: Characters of a text that are encoded in one step.
+CACHE_WORDS = 1_000_000
+#: Characters that are encoded in one step.
 STEP_CHARS = 1 << 20
 
+#: ASCII punctuation that never joins letters before it into one pre-token.
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -37,6 +40,10 @@ class WordEncoder:
     white space and drops it. So the ids of a text are the ids of its pieces between
     spaces and line feeds, in order. Other white space stays inside a piece and is
     left to the tokenizer.
+
+    New words made of letters alone are one pre-token each, and only the last id of a
+    pre-token has the end-of-word mark; so many of them are encoded as one text and
+    taken apart at the marks. Punctuation behind letters is a pre-token of its own.
     """
 
     def __init__(self, path: str) -> None:
@@ -46,56 +53,81 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        # Ends of pre-tokens, by id.
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.tails: dict[str, bytes] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[str, int] = {"": 0}
-        self.flat = np.empty(1 << 20, np.uint32)
-        self.start = np.zeros(CACHE_WORDS + 1, np.int64)
-        self.size = np.zeros(CACHE_WORDS + 1, np.int64)
-        self.used = 0
+        #: The ids of every known word, as bytes of little-endian uint32.
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _odd(self, words: list[str]) -> Iterator[bytes]:
+        for e in self.tok.encode_batch_fast(words, add_special_tokens=False):
+            yield np.array(e.ids, "<u4").tobytes()
+
+    def _letters(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words of letters, all encoded in one call."""
+        ids = self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words):
+            return self._odd(words)
+        data = np.array(ids, "<u4").tobytes()
+        cuts = (stops * 4).tolist()
+        return (data[a:b] for a, b in zip([0, *cuts], cuts))
+
+    def _tail(self, tail: str) -> bytes:
+        if tail not in self.tails:
+            self.tails[tail] = next(self._odd([tail]))
+        return self.tails[tail]
 
     def _learn(self, words: list[str]) -> None:
-        for word, enc in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False)):
-            ids = enc.ids
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.uint32)])
-            k = self.index[word] = len(self.index)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[k], self.size[k] = self.used, len(ids)
-            self.used += len(ids)
-
-    def _encode_words(self, words: list[str]) -> np.ndarray:
-        index = self.index
-        try:
-            rows = [index[w] for w in words]
-        except KeyError:
-            new = list({w for w in words if w not in index})
-            if len(new) + len(index) > CACHE_WORDS:
-                self._reset()
-                index = self.index
-                new = list(set(words) - {""})
-                if len(new) + 1 > CACHE_WORDS:
-                    half = len(words) // 2
-                    return np.concatenate([self._encode_words(words[:half]), self._encode_words(words[half:])])
-            self._learn(new)
-            rows = [index[w] for w in words]
-        at = np.array(rows, np.int64)
-        sizes = self.size[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        take = np.arange(total, dtype=np.int64) + np.repeat(self.start[at] - (ends - sizes), sizes)
-        return self.flat[take]
+        known = self.known
+        cores = [w.rstrip(_TAIL) for w in words]
+        fresh = [c for c in set(cores).difference(known) if c.isalpha()]
+        ids = dict(zip(fresh, self._letters(fresh))) if fresh else {}
+        other = []
+        for w, core in zip(words, cores):
+            if core is w or len(core) == len(w):
+                if w in ids:
+                    known[w] = ids[w]
+                else:
+                    other.append(w)
+            elif core in ids:
+                known[w] = ids[core] + self._tail(w[len(core) :])
+            elif core.isalpha():
+                known[w] = known[core] + self._tail(w[len(core) :])
+            else:
+                other.append(w)
+        if other:
+            known.update(zip(other, self._odd(other)))
+
+    def _look_up(self, words: list[str]) -> None:
+        """Make sure that all of ``words`` are known; starts anew beyond the limit."""
+        new = set(words).difference(self.known)
+        if len(new) + len(self.known) > CACHE_WORDS:
+            self._reset()
+            new = set(words) - {""}
+        if new:
+            self._learn(list(new))
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of ``texts`` as uint32, without special tokens of the tokenizer's own."""
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        self._look_up([w for words in split for w in words])
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4") for words in split]
 
     def encode(self, text: str) -> np.ndarray:
-        """Token ids of ``text`` as uint32, without special tokens of its own."""
-        if len(text) <= STEP_CHARS:
-            return self._encode_words(text.replace("\n", " ").split(" "))
+        """Ids of one text of any length, ``STEP_CHARS`` characters or so at a time."""
+        if len(text) <= 2 * STEP_CHARS:
+            return self.encode_many([text])[0]
         parts, at = [], 0
         while at < len(text):
             end = text.find(" ", at + STEP_CHARS)
             end = len(text) if end < 0 else end
-            parts.append(self._encode_words(text[at:end].replace("\n", " ").split(" ")))
+            parts.append(self.encode_many([text[at:end]])[0])
             at = end + 1
         return np.concatenate(parts)
 
@@ -218,11 +250,25 @@ def pack_documents(
         enc = encoder(path)
 
         def stream() -> Iterator[tuple[int | None, np.ndarray]]:
+            keys: list = []
+            held: list[str] = []
+            size = 0
+
+            def coded() -> Iterator[tuple[int | None, np.ndarray]]:
+                many = enc.encode_many(held) if size <= 2 * STEP_CHARS else map(enc.encode, held)
+                for key, ids in zip(keys, many):
+                    yield key, np.append(ids, np.uint32(end_id))
+
             for batch in batches:
                 ids, texts = batch.column(0), batch.column(1)
                 for k in range(batch.num_rows):
-                    coded = enc.encode(texts[k].as_py() or "")
-                    yield ids[k].as_py(), np.append(coded, np.uint32(end_id))
+                    keys.append(ids[k].as_py())
+                    held.append(texts[k].as_py() or "")
+                    size += len(held[-1])
+                    if size >= STEP_CHARS:
+                        yield from coded()
+                        keys, held, size = [], [], 0
+            yield from coded()
 
         rows: list[tuple] = []
 
