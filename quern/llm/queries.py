@@ -11,6 +11,7 @@ from quern.llm.decontaminate import contaminated
 from quern.llm.license_scan import scan_licenses
 from quern.llm.line_dedup import duplicate_lines
 from quern.llm.media_avi import media_digests
+from quern.llm.ngram_join import near_duplicates
 from quern.llm.packing import pack_documents
 from quern.llm.pii import find_pii
 from quern.llm.quality_crf import score_quality
@@ -46,6 +47,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_units(read_table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_dedup": op5_line_dedup,
         "op6_media_avi": op6_media_avi,
         "op7_quality": op7_quality,
+        "op8_ngram_join": op8_ngram_join,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_pii": op10_pii,
     }
