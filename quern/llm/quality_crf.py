@@ -278,3 +278,29 @@ def score_documents(
 def score_quality(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, threshold: float = THRESHOLD) -> DataFrame:
     """Train on the labelled sample, then score all of ``docs``."""
     return score_documents(docs, train(docs, labels, max_docs), threshold)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``, with all their columns.
+
+    The rows themselves pass through the scorer, so repeated or missing ids do not
+    matter.
+    """
+    model = train(docs, labels, max_docs)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep: list[np.ndarray] = []
+            held: list[str] = []
+            size = 0
+            for value in batch.column(at):
+                held.append(value.as_py() or "")
+                size += len(held[-1])
+                if size > 1 << 20:
+                    keep.append(model.score(held) >= threshold)
+                    held, size = [], 0
+            keep.append(model.score(held) >= threshold)
+            yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)
