@@ -1,4 +1,4 @@
-"""Catalog of the engine's registered queries."""
+"""Catalog of the engine's registered queries and their oracles."""
 
 from __future__ import annotations
 
@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.plans import q_fusion, q_graph, q_incremental, q_investigation, q_lexical, q_lines, q_quality, q_vectors, search
+
+FAMILIES = (q_lines, q_lexical, q_vectors, q_graph, q_fusion, q_quality, q_incremental, q_investigation)
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return search.hybrid_search(spark, sf_dir, "open license terms", 20)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for m in FAMILIES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in FAMILIES for name, sql in m.ORACLES.items()}
