@@ -9,23 +9,25 @@ similarity is at least 0.75. The join runs in steps that lose no link:
    corpus that leaves the near copies and little else.
 3. The n-grams of the candidates are put into one global order, rare ones first, by
    their number of candidates. A candidate needs 75 % of its n-grams shared.
-4. Candidates meet under the n-grams of their prefix in that order. In a bucket every
-   member is first compared with the bucket's most central member alone; what links
-   becomes components, and only members of different components are compared further.
-5. A comparison takes one probe and the sets it meets, stored in a trie of globally
-   ordered n-grams: a traversal shares the overlap of common prefixes and prunes the
-   subtrees whose remaining lengths cannot reach the threshold.
+4. Candidates that meet under an n-gram of their prefix in that order form clusters,
+   and clusters are cut into blocks. Only blocks that share such an n-gram meet, so a
+   large group of near copies costs blocks squared, not members squared, in rows.
+5. Where two blocks meet, one is stored in a trie of globally ordered n-grams and
+   traversed once with all sets of the other: partial overlaps are shared by all sets
+   below a node, and a subtree is left by the probes whose overlap cannot reach the
+   threshold with the lengths that remain. Of the links found a spanning forest goes on.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import connected_components, discard, materialize, maybe_broadcast
@@ -35,8 +37,8 @@ N = 5
 NUM, DEN = 3, 4
 #: Shared hashes that step 2 asks for: one in so many of a set.
 SLACK = 12
-#: Sets that one probe meets in one task.
-GROUP = 256
+#: Sets of a block: a task holds two blocks.
+BLOCK = 512
 #: Rows up to which a table of ids is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 #: Words whose hashes a worker keeps.
@@ -44,7 +46,7 @@ CACHE_WORDS = 400_000
 
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SPACE = re.compile(rb"[\x09-\x0D\x20]+")
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0x9E3779B97F4A7C15)  # odd
 
 _words: dict[bytes, int] = {}
 
@@ -59,7 +61,6 @@ def word_list(text: str) -> list[bytes]:
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(29))
 
 
@@ -67,26 +68,32 @@ def shingle_sets(texts: list[str], n: int = N) -> list[np.ndarray]:
     """For every text the sorted distinct 64-bit hashes of its word n-grams.
 
     A text of fewer words has its whole sequence as the only one; one without words has
-    none. The n-grams of all texts are hashed in one go.
+    none. The n-grams of all texts are hashed in one go: a sum of the word hashes with
+    an odd factor for each place, mixed.
     """
     global _words
     if len(_words) > CACHE_WORDS:
         _words = {}
     lists = [word_list(t) for t in texts]
-    new = {w for words in lists for w in words}.difference(_words)
+    flat = list(chain.from_iterable(lists))
+    new = set(flat).difference(_words)
     _words.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
-    total = sum(map(len, lists))
-    h = np.fromiter((v for words in lists for v in map(_words.__getitem__, words)), np.uint64, total)
-    acc = np.zeros(total, np.uint64)
+    total = len(flat)
+    h = np.fromiter(map(_words.__getitem__, flat), np.uint64, total)
+    acc = np.zeros(max(0, total - n + 1), np.uint64)
     with np.errstate(over="ignore"):
+        factor = np.uint64(1)
         for k in range(n):
-            part = h[k:] if k else h
-            acc[: total - k] = _mixed(acc[: total - k] * _MIX + part) if total > k else 0
+            factor = factor * _MIX
+            acc += h[k : k + len(acc)] * factor
+        acc = _mixed(acc)
     out, at = [], 0
     for words in lists:
         m = len(words)
         if m >= n:
-            out.append(np.unique(acc[at : at + m - n + 1]))
+            s = np.sort(acc[at : at + m - n + 1])
+            fresh = s[1:] != s[:-1]
+            out.append(s if fresh.all() else s[np.concatenate([[True], fresh])])
         elif m:
             out.append(np.array([xxhash.xxh3_64_intdigest(b"\x00".join(words), seed=m)], np.uint64))
         else:
@@ -222,64 +229,93 @@ class Trie:
             grow(*stack.pop())
         return root
 
-    def similar(self, probe: np.ndarray, num: int = NUM, den: int = DEN) -> list[int]:
-        """Ids of the sets whose Jaccard similarity with ``probe`` is at least num/den."""
-        m = len(probe)
-        out: list[int] = []
-        stack = [(child, 0, 0) for child in self.children]
-        if not m:
-            return out
+    def similar(self, probes: list[np.ndarray], num: int = NUM, den: int = DEN) -> Iterator[tuple[int, np.ndarray]]:
+        """``(id of a set, positions of the probes)`` with Jaccard similarity of num/den.
+
+        One traversal for all probes. A node adds what its run shares with each probe,
+        found in posting lists; the ranks of probes and sets are those of one order.
+        """
+        size = np.array([len(p) for p in probes], np.int64)
+        flat = np.concatenate(probes) if probes else np.zeros(0, np.int64)
+        order = np.argsort(flat, kind="stable")
+        owner = np.repeat(np.arange(len(probes)), size)[order]
+        flat = flat[order]
+        stack = [(child, 0, np.zeros(len(probes), np.int64)) for child in self.children]
         while stack:
             node, depth, shared = stack.pop()
-            run = node.run
-            at = np.searchsorted(probe, run)
-            shared += int((probe[np.minimum(at, m - 1)] == run).sum())
-            depth += len(run)
-            # Below this node a set of size s shares at most what is shared already and
-            # the lesser of what it and what the probe have behind this point.
-            left = m - int(np.searchsorted(probe, run[-1], side="right"))
-            smallest = max(node.low, depth)
-            best = shared + min(node.high - depth, left)
-            if den * best < num * (m + smallest - best):
+            low = np.searchsorted(flat, node.run, side="left")
+            count = np.searchsorted(flat, node.run, side="right") - low
+            total = int(count.sum())
+            if total:
+                at = np.arange(total) + np.repeat(low - (np.cumsum(count) - count), count)
+                shared = shared + np.bincount(owner[at], minlength=len(probes))
+            depth += len(node.run)
+            best = np.minimum(size, shared + (node.high - depth))
+            alive = den * best >= num * (size + max(node.low, depth) - best)
+            if not alive.any():
                 continue
-            if den * shared >= num * (m + depth - shared):
-                out += node.ends
+            if node.ends:
+                hit = np.flatnonzero(den * shared >= num * (size + depth - shared))
+                if len(hit):
+                    for k in node.ends:
+                        yield k, hit
             stack += [(child, depth, shared) for child in node.children]
-        return out
 
 
-def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` of ``pairs(probe, other)`` that link.
+def _forest(links: Iterator[tuple[int, list[int]]]) -> list[tuple[int, int]]:
+    """Links ``(a, [b, ...])`` thinned to a spanning forest of the same components."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    out = []
+    for a, others in links:
+        ra = find(a)
+        for b in others:
+            rb = find(b)
+            if ra != rb:
+                root[rb] = ra
+                out.append((a, b))
+    return out
+
+
+def join_blocks(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between and within blocks: for ``pairs(left, right)`` of blocks.
 
-    ``sets(node, dfs, grams)`` has the sets in global order. The sets that a probe
-    meets come in groups of about ``GROUP``; each group gets the probe's own set along.
+    ``sets(node, block, dfs, grams)``. What comes out has the components of all links of
+    each pair of blocks, not each link.
     """
-    count = pairs.groupBy("probe").agg(F.count("*").alias("k"))
-    part = F.pmod(F.xxhash64("other"), F.ceil(F.col("k") / GROUP)).cast("int")
-    pairs = materialize(pairs.join(count, "probe").select("probe", "other", part.alias("part")), "ngram-pairs")
-    ordered = sets.select("node", "dfs", "grams")
-    members = pairs.join(ordered.withColumnRenamed("node", "other"), "other").select("probe", "part", "other", "dfs", "grams")
-    probes = pairs.select("probe", "part").distinct().join(ordered.withColumnRenamed("node", "probe"), "probe")
-    probes = probes.select("probe", "part", F.lit(None).cast("long").alias("other"), "dfs", "grams")
+    left = pairs.join(sets.withColumnRenamed("block", "left"), "left").select("left", "right", F.lit(True).alias("probe"), "node", "dfs", "grams")
+    right = pairs.join(sets.withColumnRenamed("block", "right"), "right").select("left", "right", F.lit(False).alias("probe"), "node", "dfs", "grams")
+    rows = left.unionByName(right.where("left <> right"))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        others = table.column("other").to_pylist()
+        nodes = table.column("node").to_numpy()
+        probe = np.array(table.column("probe").to_pylist(), bool)
         grams = table.column("grams").combine_chunks()
         flat = grams.flatten().to_numpy()
         df = table.column("dfs").combine_chunks().flatten().to_numpy()
         cuts = np.cumsum([0, *grams.value_lengths().to_pylist()])
-        # Positions in the global order, rare n-grams first, within this group.
+        # Positions in the global order, rare n-grams first, within this pair of blocks.
         unique, first, inverse = np.unique(flat, return_index=True, return_inverse=True)
         rank = np.empty(len(unique), np.int64)
         rank[np.lexsort((unique, df[first]))] = np.arange(len(unique))
         ranks = rank[inverse]
-        own = {o: np.sort(ranks[a:b]) for o, a, b in zip(others, cuts, cuts[1:])}
-        probe = own.pop(None)
-        trie = Trie.build(list(own.values()), list(own))
-        found = trie.similar(probe)
-        return pa.table({"a": pa.array([key[0].as_py()] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
+        own = [np.unique(ranks[a:b]) for a, b in zip(cuts, cuts[1:])]
+        probes = np.flatnonzero(probe)
+        stored = probes if probe.all() else np.flatnonzero(~probe)
+        trie = Trie.build([own[k] for k in stored], [int(nodes[k]) for k in stored])
+        found = trie.similar([own[k] for k in probes])
+        ids = nodes[probes]
+        edges = _forest((k, ids[hit].tolist()) for k, hit in found)
+        a, b = zip(*edges) if edges else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return members.unionByName(probes).groupBy("probe", "part").applyInArrow(run, "a long, b long")
+    return rows.groupBy("left", "right").applyInArrow(run, "a long, b long")
 
 
 def candidate_nodes(rows: DataFrame) -> DataFrame:
@@ -302,54 +338,65 @@ def candidate_nodes(rows: DataFrame) -> DataFrame:
 def ordered_sets(texts: DataFrame) -> DataFrame:
     """``(node, n, dfs, grams)`` of the rows ``(node, text)`` that can still link.
 
-    N-grams are in the global order: by the number of sets that hold them, then by hash.
+    The global order of n-grams is by the number of sets that hold them, then by hash.
+    Arrays come unsorted, as each comparison ranks its own n-grams anyway.
     """
     grams = materialize(set_members(texts), "ngram-grams")
     dfs = materialize(grams.groupBy("gram").agg(F.count("*").cast("int").alias("df")).where("df > 1"), "ngram-dfs")
-    joined = grams.join(dfs, "gram", "left").select("node", F.coalesce("df", F.lit(1)).alias("df"), "gram")
-    shared = F.count_if(F.col("df") > 1)
-    need = F.ceil(F.col("n") * NUM / DEN)
-    sets = joined.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("df", "gram"))).alias("g"), shared.alias("shared"))
-    sets = sets.withColumn("n", F.size("g")).where(F.col("shared") >= need)
-    return materialize(sets.select("node", "n", F.col("g.df").alias("dfs"), F.col("g.gram").alias("grams")), "ngram-sets")
+    sizes = grams.groupBy("node").agg(F.count("*").alias("n"))
+    shared = grams.join(dfs.select("gram"), "gram").groupBy("node").agg(F.count("*").alias("shared"))
+    nodes = shared.join(sizes, "node").where(F.col("shared") >= F.ceil(F.col("n") * NUM / DEN)).select("node", "n")
+    nodes = materialize(nodes, "ngram-nodes")
+    own = grams.join(maybe_broadcast(nodes, BROADCAST_ROWS), "node").join(dfs, "gram", "left")
+    item = F.struct(F.coalesce("df", F.lit(1)).alias("df"), "gram")
+    sets = own.groupBy("node", "n").agg(F.collect_list(item).alias("g"))
+    out = materialize(sets.select("node", "n", F.col("g.df").alias("dfs"), F.col("g.gram").alias("grams")), "ngram-sets")
+    discard(grams)
+    return out
+
+
+def prefix_buckets(sets: DataFrame) -> DataFrame:
+    """``(gram, node)``: the shared n-grams in the prefix of every set in the global order."""
+    items = F.array_sort(F.arrays_zip("dfs", "grams"))
+    length = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1
+    rows = sets.select("node", F.slice(items, 1, length.cast("int")).alias("g"))
+    rows = rows.select("node", F.explode("g").alias("g")).where("g.dfs > 1")
+    return rows.select(F.col("g.grams").alias("gram"), "node")
 
 
-def link_sets(sets: DataFrame) -> DataFrame:
+def link_sets(sets: DataFrame, block: int = BLOCK) -> DataFrame:
     """``(id, component_id)`` of the sets that link to another one, by node."""
-    n = F.col("n")
-    length = n - F.ceil(n * NUM / DEN) + 1
-    central = F.aggregate("dfs", F.lit(0.0), lambda a, d: a + d) / n
-    pairs = F.slice(F.arrays_zip("dfs", "grams"), 1, length.cast("int"))
-    buckets = sets.select("node", n, central.alias("central"), F.explode(pairs).alias("g")).where("g.dfs > 1")
-    buckets = buckets.select(F.col("g.grams").alias("gram"), "node", "n", "central")
-    lead = F.max_by(F.struct("node", "n"), F.struct("central", "node")).alias("lead")
-    heads = buckets.groupBy("gram").agg(F.count("*").alias("k"), lead).where("k > 1")
-    heads = materialize(heads.select("gram", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "ngram-heads")
-    buckets = materialize(buckets.select("gram", "node", "n"), "ngram-buckets")
-
-    def fits(a: str, b: str):
-        return F.least(a, b) * DEN >= F.greatest(a, b) * NUM
-
-    stars = buckets.join(heads, "gram").where((F.col("node") != F.col("lead")) & fits("n", "lead_n"))
-    stars = stars.select(F.col("lead").alias("probe"), F.col("node").alias("other")).distinct()
-    first = materialize(_compare(materialize(stars, "ngram-stars"), sets), "ngram-links")
-    comps = materialize(connected_components(first, "ngram-cc"), "ngram-comps")
-
-    labelled = buckets.join(comps.withColumnRenamed("id", "node"), "node", "left")
-    labelled = labelled.select("gram", "node", "n", F.coalesce("component_id", "node").alias("comp"))
-    several = labelled.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    several = materialize(several.select("gram"), "ngram-several")
-    labelled = materialize(labelled.join(several, "gram"), "ngram-open")
-    x, y = labelled.alias("x"), labelled.alias("y")
-    across = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") < F.col("y.comp")) & fits("x.n", "y.n"))
-    across = across.select(F.col("x.node").alias("probe"), F.col("y.node").alias("other")).distinct()
-    # What the first round compared need not be compared again.
-    done = stars.select(F.greatest("probe", "other").alias("hi"), F.least("probe", "other").alias("lo"))
-    across = across.withColumns({"hi": F.greatest("probe", "other"), "lo": F.least("probe", "other")})
-    across = across.join(done, ["hi", "lo"], "left_anti").select("probe", "other")
-    second = _compare(materialize(across, "ngram-across"), sets)
-    out = materialize(connected_components(first.unionByName(second), "ngram-cc"), "ngram-groups")
-    for t in (heads, buckets, labelled, several, comps):
+    buckets = materialize(prefix_buckets(sets), "ngram-buckets")
+    heads = materialize(buckets.groupBy("gram").agg(F.count("*").alias("k"), F.min("node").alias("head")).where("k > 1").select("gram", "head"), "ngram-heads")
+    buckets = materialize(buckets.join(heads, "gram"), "ngram-met")
+    stars = buckets.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    clusters = materialize(connected_components(stars, "ngram-cc"), "ngram-clusters")
+
+    # Small clusters share blocks; large ones are cut, neighbours under one n-gram together.
+    home = buckets.groupBy("node").agg(F.min("head").alias("home"))
+    size = clusters.groupBy(F.col("component_id").alias("cluster")).agg(F.count("*").alias("k"))
+    nodes = clusters.select(F.col("id").alias("node"), F.col("component_id").alias("cluster")).join(size, "cluster").join(home, "node")
+    small = nodes.where(F.col("k") <= block // 2)
+    n_blocks = max(1, -(-small.count() // block))
+    small = small.select("node", F.pmod(F.xxhash64("cluster"), F.lit(n_blocks)).cast("string").alias("block"))
+    order = F.row_number().over(Window.partitionBy("cluster").orderBy("home", "node"))
+    large = nodes.where(F.col("k") > block // 2).withColumn("r", order)
+    part = F.floor((F.col("r") - 1) / block).cast("string")
+    large = large.select("node", F.concat_ws(":", F.col("cluster").cast("string"), part).alias("block"))
+    where = materialize(small.unionByName(large), "ngram-where")
+
+    # Blocks that share an n-gram of prefixes; each block also meets itself.
+    at = buckets.select("gram", "node").join(where.where(F.contains("block", F.lit(":"))), "node").select("gram", "block").distinct()
+    several = at.groupBy("gram").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo <> hi").select("gram")
+    at = materialize(at.join(several, "gram"), "ngram-at")
+    other = at.select("gram", F.col("block").alias("right"))
+    pairs = at.select("gram", F.col("block").alias("left")).join(other, "gram").where("left < right").select("left", "right").distinct()
+    own = where.select(F.col("block").alias("left")).distinct().withColumn("right", F.col("left"))
+    pairs = materialize(pairs.unionByName(own), "ngram-pairs")
+    placed = materialize(sets.select("node", "dfs", "grams").join(where, "node"), "ngram-placed")
+    links = materialize(join_blocks(pairs, placed), "ngram-links")
+    out = materialize(connected_components(links, "ngram-cc"), "ngram-groups")
+    for t in (buckets, heads, clusters, where, at, pairs, placed, links):
         discard(t)
     return out
 
