@@ -181,7 +181,7 @@ def disclosing_terms(
     entities = seen.where("term is null").select("entity", F.col("n_both").alias("n_entity"))
     pairs = seen.where("term is not null")
     wanted = maybe_broadcast(pairs.select("term").distinct(), BROADCAST_ROWS)
-    total = texts.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("n_lines"))
+    total = texts.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "\n")))).head()[0]  # one number
     terms = F.array_distinct(F.split(F.lower("line"), r"[^\p{L}\p{N}]+"))
     n_term = (
         texts.select(F.explode(F.split("text", "\n")).alias("line"))
@@ -190,8 +190,8 @@ def disclosing_terms(
         .groupBy("term")
         .agg(F.count("*").alias("n_term"))
     )
-    joined = pairs.join(entities, "entity").join(n_term, "term").crossJoin(F.broadcast(total))  # total is one row
-    n, both = F.col("n_lines"), F.col("n_both")
+    joined = pairs.join(entities, "entity").join(n_term, "term")
+    n, both = F.lit(float(total or 0)), F.col("n_both")
     ic = -F.log2(F.col("n_entity") / n)
     pmi = F.log2(both * n / (F.greatest("n_term", "n_both") * F.col("n_entity")))
     return joined.select("entity", "term", pmi.alias("pmi"), ic.alias("ic")).where(
