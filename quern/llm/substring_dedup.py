@@ -110,6 +110,7 @@ def duplicate_units(
         .where("n > 1")
         .select("d1", "d2", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.unit").alias("keep_unit"))
     )
+    first = materialize(first, "first-units")
     same = F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("unit") == F.col("keep_unit"))
     rest = units.join(first, ["d1", "d2"]).where(~same).drop("d1", "d2")
     by_doc = Window.partitionBy("doc_id").orderBy("unit")
