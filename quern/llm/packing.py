@@ -22,13 +22,20 @@ from pyspark.sql import DataFrame
 WINDOW = 2048
 END_ID = 1
 #: Word encodings that a worker keeps; the table starts anew when it is full.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 #: Characters that are encoded in one step.
 STEP_CHARS = 1 << 20
 
 #: ASCII punctuation that never joins letters before it into one pre-token.
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
+
+
+def _plain(word: str) -> bool:
+    """True for letters of the older scripts that stay letters in lower case."""
+    return word.isalpha() and word[-1] <= "\u052f" and (word.isascii() or word.lower().isalpha())
+
+
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -86,7 +93,7 @@ class WordEncoder:
     def _learn(self, words: list[str]) -> None:
         known = self.known
         cores = [w.rstrip(_TAIL) for w in words]
-        fresh = [c for c in set(cores).difference(known) if c.isalpha()]
+        fresh = [c for c in set(cores).difference(known) if _plain(c)]
         ids = dict(zip(fresh, self._letters(fresh))) if fresh else {}
         other = []
         for w, core in zip(words, cores):
@@ -97,26 +104,26 @@ class WordEncoder:
                     other.append(w)
             elif core in ids:
                 known[w] = ids[core] + self._tail(w[len(core) :])
-            elif core.isalpha():
+            elif core in known and _plain(core):
                 known[w] = known[core] + self._tail(w[len(core) :])
             else:
                 other.append(w)
         if other:
             known.update(zip(other, self._odd(other)))
 
-    def _look_up(self, words: list[str]) -> None:
-        """Make sure that all of ``words`` are known; starts anew beyond the limit."""
-        new = set(words).difference(self.known)
+    def _look_up(self, lists: list[list[str]]) -> None:
+        """Make sure that all words of ``lists`` are known; starts anew beyond the limit."""
+        new = set().union(*lists).difference(self.known)
         if len(new) + len(self.known) > CACHE_WORDS:
             self._reset()
-            new = set(words) - {""}
+            new = set().union(*lists) - {""}
         if new:
             self._learn(list(new))
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of ``texts`` as uint32, without special tokens of the tokenizer's own."""
         split = [text.replace("\n", " ").split(" ") for text in texts]
-        self._look_up([w for words in split for w in words])
+        self._look_up(split)
         return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4") for words in split]
 
     def encode(self, text: str) -> np.ndarray:
