@@ -26,7 +26,7 @@ IGNORED_PARTS = (
     ".git/", ".hg/", ".svn/", "target/", "dist/", "build/", "coverage/", "node_modules/", ".pnpm-store/", ".npm/",
     ".yarn/", ".parcel-cache/", ".next/", ".nuxt/", ".svelte-kit/", ".venv/", "venv/", "env/", ".tox/", ".nox/",
     "__pycache__/", ".mypy_cache/", ".pytest_cache/", ".ruff_cache/", ".pytype/", ".eggs/", ".gradle/", ".terraform/",
-    ".serverless/", ".aws-sam/", ".direnv/", ".idea/", ".vscode/", ".rmu/",
+    ".serverless/", ".aws-sam/", ".direnv/", ".idea/", ".vscode/",
 )
 
 # --- fixed values: weights of the token estimate, by preset ---------------------------
