@@ -256,6 +256,19 @@ def test_line_groups_against_all_pairs(spark):
     assert got == want and any(len({find(u) for u in ids}) < len(ids) for _ in "x")
 
 
+def test_line_recall_by_edit_similarity_alone(spark):
+    random.seed(4)
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(random.randint(2, 8)))
+    rows = []
+    for k in range(300):
+        line = " ".join(word() for _ in range(random.choice([8, 12, 20, 27, 45, 90, 150])))
+        at = random.choice([i for i, c in enumerate(line) if c != " "])
+        rows += [(2 * k, line), (2 * k + 1, line[:at] + "x" + line[at + 1 :])]
+    got = {(r.keep_doc_id, r.doc_id) for r in line_dedup.duplicate_lines(frame(spark, rows)).collect()}
+    want = {(2 * k, 2 * k + 1) for k in range(300)}
+    assert got <= want and len(got) >= 0.97 * len(want)
+
+
 def test_line_dedup_odd(spark, odd, none):
     gone = line_dedup.duplicate_lines(odd)
     assert sorted((r.doc_id, r.line, r.keep_doc_id) for r in gone.collect()) == [(6, 0, 5)]
