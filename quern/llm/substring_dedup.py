@@ -1,6 +1,7 @@
 """Substring dedup by hashing units of lines.
 
-Every line is cut at sentence ends into units, each unit is normalised and hashed,
+Every line is cut at sentence ends into units, and long sentences after words that their
+own hashes choose, so that copies are cut alike wherever they stand. Each unit is hashed,
 the digests are grouped over the whole corpus, the earliest ranked occurrence of
 each digest stays, and the others are removed where they stand in a run of some
 length. Removed units keep their offsets in the original text.
@@ -11,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,13 +20,32 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import materialize
 
-#: Words in a run of removed units, at least. Passages of over 50 words that were
-#: pasted into the middle of a sentence still have so many in whole units.
+#: Words in a run of removed units, at least.
 MIN_RUN_WORDS = 20
+#: Sentences of more words are cut after every word whose hash ends in ``CUT_BITS`` zeros,
+#: so a passage that was pasted into the middle of a sentence loses few words at its ends.
+LONG_SENTENCE = 12
+CUT_BITS = 2
 #: A unit of fewer words takes in the next one of its line.
 MIN_UNIT_WORDS = 4
 
 _SENTENCE_END = re.compile(r"[.!?][^\S\n]+")
+_WORD = re.compile(r"(\S+)\s*")
+
+
+def _sentence_cuts(line: str) -> list[int]:
+    """Ends of the sentences of ``line`` and, in long ones, of the words chosen by hash."""
+    ends = [m.end() for m in _SENTENCE_END.finditer(line)]
+    if not ends or ends[-1] != len(line):
+        ends.append(len(line))
+    out, begin = [], 0
+    for end in ends:
+        words = list(_WORD.finditer(line, begin, end))
+        if len(words) > LONG_SENTENCE:
+            out += [m.end() for m in words[:-1] if crc32(m[1].lower().encode()) & ((1 << CUT_BITS) - 1) == 0]
+        out.append(end)
+        begin = end
+    return out
 
 SCHEMA = "doc_id long, unit int, start long, length long, words int, d1 long, d2 long"
 
@@ -39,9 +60,7 @@ def split_units(text: str, min_words: int = MIN_UNIT_WORDS) -> list[tuple[int, i
     at = 0
     for line in text.split("\n"):
         begin = 0
-        cuts = [m.end() for m in _SENTENCE_END.finditer(line)]
-        if not cuts or cuts[-1] != len(line):
-            cuts.append(len(line))
+        cuts = _sentence_cuts(line)
         for k, end in enumerate(cuts):
             words = line[begin:end].lower().split()
             if len(words) < min_words and k + 1 < len(cuts):

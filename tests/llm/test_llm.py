@@ -482,6 +482,26 @@ def test_substring_dedup(spark, odd, none):
     assert substring_dedup.duplicate_units(odd, 5).count() == 1 and substring_dedup.duplicate_units(none).count() == 0
 
 
+def test_substring_dedup_of_passages_inside_sentences(spark):
+    random.seed(7)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(6))
+    words = lambda n: " ".join(word() for _ in range(n))
+    rows, places = [], {}
+    for k in range(40):
+        # 60 words: the end of one sentence, a short one, the start of another.
+        passage = f"{words(25)}. {words(8)}. {words(27)}" if k % 2 else words(60)
+        for d in (2 * k, 2 * k + 1):
+            head = words(20) + " "
+            rows.append((d, f"{head}{passage} {words(20)}."))
+            places[d] = (len(head), len(head) + len(passage))
+    gone = collections.Counter()
+    for r in substring_dedup.duplicate_units(frame(spark, rows)).collect():
+        low, high = places[r.doc_id]
+        assert r.doc_id % 2 and low <= r.start and r.start + r.length <= high + 1
+        gone[r.doc_id] += r.length
+    assert all(gone[d] * 2 >= places[d][1] - places[d][0] for d in range(1, 80, 2))
+
+
 # --- PII ---------------------------------------------------------------------------------
 def brute_pii(t):
     t = t or ""
