@@ -140,14 +140,15 @@ def _rules() -> tuple[Rule, ...]:
     add("redistribution", "bsd-2-clause", 3, 0.8, r"redistribution and use in source and binary forms with or without modification are permitted ")
     add("redistributions", "bsd-2-clause", 4, 0.7, r"redistributions of source code must retain the above copyright notice ", r"redistributions in binary form must reproduce the above copyright notice ")
     add("endorse", "bsd-3-clause", 3, 0.85, r"may be used to endorse or promote products derived from this software without ")
-    add("acknowledgment", "bsd-4-clause", 3, 0.85, r"must display the following acknowledg[e]?ment ")
+    add("acknowledg", "bsd-4-clause", 3, 0.85, r"must display the following acknowledg[e]?ment ")
 
     # Grants and notices in words.
     add("granted", "mit", 3, 0.9, r"permission is hereby granted free of charge to any person obtaining a copy ")
     add("granted", "isc", 3, 0.85, r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted ")
     add("granted", "hpnd", 4, 0.7, r"permission to use copy modify and distribute this software and its documentation ~for any purpose ~is hereby granted ")
-    add("warranty", "disclaimer", 5, 0.3, r"without warranty of any kind ", r"without warranties or conditions of any kind ", r"without any warranty ", r"provided as is without ~warranty ")
-    add("implied", "disclaimer", 5, 0.3, r"the software is provided as is ", r"any express or implied warranties ")
+    add("warrant", "disclaimer", 5, 0.3, r"without warranty of any kind ", r"without warranties or conditions of any kind ", r"without any warranty ", r"provided as is without ~warranty ")
+    add("provided", "disclaimer", 5, 0.3, r"the software is provided as is ")
+    add("implied", "disclaimer", 5, 0.3, r"any express or implied warranties ")
     add("notice", "mit", 4, 0.7, r"the above copyright notice and this permission notice shall be included ")
     add("altered", "zlib", 3, 0.85, r"altered source versions must be plainly marked as such ")
     add("origin", "zlib", 3, 0.85, r"the origin of this software must not be misrepresented ")

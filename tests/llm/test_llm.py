@@ -106,6 +106,40 @@ def test_license_suppression(spark):
     assert all(0 <= r.score <= 1 for r in got.values()) and len(license_scan.RULES) >= 300
 
 
+def sample_text(items):
+    """A random text that matches the parsed pattern."""
+    out = ""
+    for op, arg in items:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "BRANCH":
+            out += sample_text(random.choice(arg[1]))
+        elif op == "SUBPATTERN":
+            out += sample_text(arg[3])
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(sample_text(arg[2]) for _ in range(random.randint(arg[0], min(arg[1], arg[0] + 2))))
+        elif op == "IN":
+            kind, value = arg[0]
+            out += chr(value[0] if str(kind) == "RANGE" else value)
+        else:
+            assert op in ("ASSERT", "ASSERT_NOT")
+    return out
+
+
+def test_license_keywords_are_in_every_match():
+    random.seed(10)
+    for r in license_scan.RULES:
+        for _ in range(30):
+            assert r.keyword in sample_text(re._parser.parse(r.pattern)), r
+
+
+def test_license_forms(spark):
+    rows = [(1, "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express"), (2, "must display the following acknowledgement:"), (3, "must display the following acknowledgment:"), (4, "The software is provided as is.")]
+    got = {r.doc_id: r.labels for r in license_scan.scan_licenses(frame(spark, rows)).collect()}
+    assert got == {1: "disclaimer", 2: "bsd-4-clause", 3: "bsd-4-clause", 4: "disclaimer"}
+
+
 # --- decontamination ---------------------------------------------------------------------
 def test_decontamination(spark, odd, none):
     random.seed(5)
