@@ -1,16 +1,20 @@
 """PII: pattern detection and information-theoretic sanitisation.
 
-Patterns find the protected entities. Corpus co-occurrence then estimates how much
-a term tells about an entity: with contexts (lines of distinct texts) as the events,
-a term t discloses an entity e when the pointwise mutual information
-``log2(p(t, e) / (p(t) p(e)))`` reaches a given share of the information content
-``-log2 p(e)`` of the entity. Disclosing terms are generalised like the entities.
+Patterns find the protected entities. Corpus co-occurrence then estimates how much a
+term tells about an entity. The events are the pieces of all lines of all texts: a line,
+or each run of ``PIECE_TERMS`` terms of a longer one. Every count is one of pieces, copies
+included: those that hold the term, the entity, both, and all of them. A term t discloses
+an entity e when the pointwise mutual information ``log2(p(t | e) / p(t))``, smoothed
+towards independence, reaches a given share of the information content ``-log2 p(e)`` of
+the entity. Disclosing terms are generalised like the entities.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,12 +27,13 @@ KINDS = ("email", "ip", "card", "phone", "term")
 
 #: Share of the entity's information content from which a term discloses it.
 DISCLOSURE = 0.8
-#: Contexts of an entity that a disclosing term must share with it, at least.
-MIN_SUPPORT = 3
-#: Characters before and after an entity that make its context, within its line.
-CONTEXT_CHARS = 200
-#: Longer runs of letters and digits are not terms.
-TERM_CHARS = 40
+#: Pieces without any link between term and entity that are added to those of an entity,
+#: so one shared piece tells less than many.
+SMOOTHING = 2.0
+#: Terms of a piece.
+PIECE_TERMS = 64
+#: Counts that a worker holds before it hands them on.
+HELD_COUNTS = 200_000
 #: Rows up to which a table of terms is sent to all workers.
 BROADCAST_ROWS = 100_000
 
@@ -60,9 +65,9 @@ def _emails(text: str) -> list[tuple[int, int]]:
 
 
 def _ips(text: str) -> list[tuple[int, int]]:
-    return [
-        m.span() for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))
-    ]
+    # Parts may have any number of zeros in front; three digits left compare as numbers.
+    parts = lambda m: [p.lstrip("0") or "0" for p in m[0].split(".")]
+    return [m.span() for m in _IP.finditer(text) if all(len(p) <= 3 and int(p) <= 255 for p in parts(m))]
 
 
 def luhn(digits: str) -> bool:
@@ -110,93 +115,99 @@ def spans_text(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in spans)
 
 
-def terms_of(context: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), m[0].lower()) for m in _TERM.finditer(context) if m.end() - m.start() <= TERM_CHARS]
+def outside(text: str, base: list[tuple[int, int, int]], start: int = 0, end: int | None = None) -> Iterator[tuple[int, int, str]]:
+    """``(start, end, term)`` of the terms of ``text[start:end]`` that touch no span of ``base``."""
+    k, reach = 0, -1
+    for m in _TERM.finditer(text, start, len(text) if end is None else end):
+        s, e = m.span()
+        while k < len(base) and base[k][0] < e:
+            reach = max(reach, base[k][1])
+            k += 1
+        if reach <= s:
+            yield s, e, m[0].lower()
+
 
+def pieces_of(text: str) -> Iterator[tuple[set[str], set[str]]]:
+    """``(terms, entities)`` of every piece of ``text``.
 
-def _context(text: str, start: int, end: int) -> tuple[int, int]:
-    """The part of the line within ``CONTEXT_CHARS`` of an entity, cut at spaces."""
-    low = max(start - CONTEXT_CHARS, text.rfind("\n", max(0, start - CONTEXT_CHARS), start) + 1, 0)
-    stop = text.find("\n", end, end + CONTEXT_CHARS)
-    high = min(len(text), end + CONTEXT_CHARS) if stop < 0 else stop
-    if low == start - CONTEXT_CHARS:
-        low = max(low, text.find(" ", low, start) + 1)
-    if high == end + CONTEXT_CHARS and (last := text.rfind(" ", end, high)) >= 0:
-        high = last
-    return low, high
+    A piece has ``PIECE_TERMS`` terms of one line, the last one of a line fewer; an entity
+    belongs to the piece of the terms before it. A line without terms is one piece.
+    """
+    base = find_base(text)
+    at, k = 0, 0
+    while at <= len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        own = []
+        while k < len(base) and base[k][0] <= stop:
+            own.append(base[k])
+            k += 1
+        if own:
+            found = list(outside(text, own, at, stop))
+            terms = [t for _, _, t in found]
+            starts = [s for s, _, _ in found]
+        else:
+            terms, starts = [t.lower() for t in _TERM.findall(text, at, stop)], []
+        pieces = [(set(terms[i : i + PIECE_TERMS]), set()) for i in range(0, max(1, len(terms)), PIECE_TERMS)]
+        for s, e, _ in own:
+            pieces[max(0, bisect_left(starts, s) - 1) // PIECE_TERMS][1].add(text[s:e])
+        yield from pieces
+        at = stop + 1
 
 
-def entity_terms(texts: DataFrame) -> DataFrame:
-    """``(entity, term, context)``: terms around protected entities, in their lines.
+def piece_counts(texts: DataFrame) -> DataFrame:
+    """``(entity, term, n)``: the pieces that hold an entity and a term.
 
-    ``context`` is a hash of the surroundings, so copies count once. An entity also
-    comes with a null term, to count its own contexts.
+    A null entity stands for any, and so does a null term: rows with one null count an
+    entity or a term alone, the row with two counts all pieces.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: set[tuple[str, str | None, int]] = set()
+        alone: Counter = Counter()
+        both: Counter = Counter()
+        total = 0
 
         def out() -> pa.RecordBatch:
-            cols = list(zip(*rows))
-            rows.clear()
+            rows = [(None, t, n) for t, n in alone.items()] + [(e, t, n) for (e, t), n in both.items()]
+            alone.clear(), both.clear()
+            cols = list(zip(*rows)) or [(), (), ()]
             kinds = [pa.string(), pa.string(), pa.int64()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, kinds)], names=["entity", "term", "context"]
-            )
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["entity", "term", "n"])
 
         for batch in batches:
             for value in batch.column(0):
-                text = value.as_py() or ""
-                base = find_base(text)
-                for n, (start, end, _) in enumerate(base):
-                    low, high = _context(text, start, end)
-                    near = base[max(0, n - 8) : n + 9]
-                    part = text[low:high]
-                    digest = int.from_bytes(hashlib.blake2b(part.encode(), digest_size=8).digest(), "little", signed=True)
-                    entity = text[start:end]
-                    rows.add((entity, None, digest))
-                    for s, e, t in terms_of(part):
-                        if not any(s + low < b and a < e + low for a, b, _ in near):
-                            rows.add((entity, t, digest))
-                    if len(rows) >= 20_000:
+                for terms, entities in pieces_of(value.as_py() or ""):
+                    total += 1
+                    alone.update(terms)
+                    for e in entities:
+                        both[e, None] += 1
+                        both.update((e, t) for t in terms)
+                    if len(alone) + len(both) >= HELD_COUNTS:
                         yield out()
-        if rows:
-            yield out()
+        both[None, None] += total
+        yield out()
 
-    return texts.mapInArrow(run, "entity string, term string, context long")
+    return texts.mapInArrow(run, "entity string, term string, n long").groupBy("entity", "term").agg(F.sum("n").alias("n"))
 
 
-def disclosing_terms(
-    docs: DataFrame, disclosure: float = DISCLOSURE, min_support: int = MIN_SUPPORT, text_col: str = "text"
-) -> DataFrame:
+def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, smoothing: float = SMOOTHING, text_col: str = "text") -> DataFrame:
     """``(entity, term, pmi, ic)`` of the terms above the threshold, from the whole corpus.
 
-    Lines are the events, copies of a line with an entity count once. The number of
-    lines of the corpus that hold a term is counted for the terms that reached
-    ``min_support`` lines with an entity; no other count can matter.
+    A null text has one piece, without terms, as an empty one has.
     """
-    texts = docs.select(docs[text_col].cast("string").alias("text"))
-    seen = entity_terms(texts).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    seen = materialize(seen.where(F.col("n_both") >= min_support), "pii-pairs")
-    entities = seen.where("term is null").select("entity", F.col("n_both").alias("n_entity"))
-    pairs = seen.where("term is not null")
-    wanted = maybe_broadcast(pairs.select("term").distinct(), BROADCAST_ROWS)
-    total = texts.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "\n")))).head()[0]  # one number
-    terms = F.array_distinct(F.split(F.lower("line"), r"[^\p{L}\p{N}]+"))
-    n_term = (
-        texts.select(F.explode(F.split("text", "\n")).alias("line"))
-        .select(F.explode(terms).alias("term"))
-        .join(wanted, "term", "left_semi")
-        .groupBy("term")
-        .agg(F.count("*").alias("n_term"))
-    )
-    joined = pairs.join(entities, "entity").join(n_term, "term")
-    n, both = F.lit(float(total or 0)), F.col("n_both")
+    counts = materialize(piece_counts(docs.select(docs[text_col].cast("string").alias("text"))), "pii-counts")
+    total = counts.where("entity is null and term is null").agg(F.sum("n")).head()[0] or 0  # one number
+    entities = counts.where("entity is not null and term is null").select("entity", F.col("n").alias("n_entity"))
+    terms = counts.where("entity is null and term is not null").select("term", F.col("n").alias("n_term"))
+    pairs = counts.where("entity is not null and term is not null").select("entity", "term", F.col("n").alias("n_both"))
+    joined = pairs.join(maybe_broadcast(entities, BROADCAST_ROWS), "entity")
+    n = F.lit(float(total))
     ic = -F.log2(F.col("n_entity") / n)
-    pmi = F.log2(both * n / (F.greatest("n_term", "n_both") * F.col("n_entity")))
-    return joined.select("entity", "term", pmi.alias("pmi"), ic.alias("ic")).where(
-        (F.col("ic") > 0) & (F.col("pmi") >= disclosure * F.col("ic"))
-    )
+    joined = joined.join(terms, "term")
+    p_term = F.col("n_term") / n
+    given = (F.col("n_both") + F.lit(smoothing) * p_term) / (F.col("n_entity") + F.lit(smoothing))
+    rated = joined.select("entity", "term", F.log2(given / p_term).alias("pmi"), ic.alias("ic"))
+    return rated.where((F.col("ic") > 0) & (F.col("pmi") >= disclosure * F.col("ic")))
 
 
 def _own_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
@@ -222,13 +233,7 @@ def add_term_spans(text: str, base: list[tuple[int, int, int]], terms: set[str])
     """Base spans and those of the disclosing terms outside them."""
     if not terms:
         return base
-    out, k = list(base), 0
-    for s, e, t in terms_of(text):
-        while k < len(base) and base[k][1] <= s:
-            k += 1
-        if t in terms and not any(a < e and s < b for a, b, _ in base[max(0, k - 4) : k + 8]):
-            out.append((s, e, 4))
-    return sorted(out, key=lambda x: (x[0], x[2]))
+    return sorted(base + [(s, e, 4) for s, e, t in outside(text, base) if t in terms], key=lambda x: (x[0], x[2]))
 
 
 def generalize(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -243,14 +248,14 @@ def generalize(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 SCHEMA = (
-    "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_term long, base_sha256 string, spans string"
+    "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_term long, n_found long, base_sha256 string, spans string"
 )
 
 
 def find_pii(
     docs: DataFrame,
     disclosure: float = DISCLOSURE,
-    min_support: int = MIN_SUPPORT,
+    smoothing: float = SMOOTHING,
     id_col: str = "doc_id",
     text_col: str = "text",
     with_text: bool = False,
@@ -258,13 +263,14 @@ def find_pii(
 ) -> DataFrame:
     """Personal data of every row of ``docs``; with ``with_text`` also the sanitised text.
 
+    ``n_found`` counts all spans; ``base_sha256`` digests those of the patterns alone.
     A null text counts as empty; a null id stays null; repeated rows give repeated
     results; an empty table gives none; other columns are ignored. Terms count as
     disclosing in the documents that hold the entity. Up to ``broadcast_rows``
     disclosing terms go to the workers as one table, more are joined by entity.
     """
     picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    terms = materialize(disclosing_terms(picked, disclosure, min_support), "pii-terms")
+    terms = materialize(disclosing_terms(picked, disclosure, smoothing), "pii-terms")
     head = terms.select("entity", "term").limit(broadcast_rows + 1).collect()  # bounded by the limit
     if len(head) <= broadcast_rows:
         table: dict[str, set[str]] = {}
@@ -290,10 +296,10 @@ def find_pii(
                 spans = add_term_spans(text, base, own)
                 kinds = [x[2] for x in spans]
                 digest = hashlib.sha256(spans_text(base).encode()).hexdigest()
-                row = (batch.column(0)[k].as_py(), *(kinds.count(i) for i in range(5)), digest, spans_text(spans))
+                row = (batch.column(0)[k].as_py(), *(kinds.count(i) for i in range(5)), len(spans), digest, spans_text(spans))
                 out.append((*row, generalize(text, spans)) if with_text else row)
-            cols = list(zip(*out)) or [()] * (8 + with_text)
-            types = [pa.int64()] * 6 + [pa.string()] * (2 + with_text)
+            cols = list(zip(*out)) or [()] * (9 + with_text)
+            types = [pa.int64()] * 7 + [pa.string()] * (2 + with_text)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in schema.split(", ")]
             )

@@ -15,7 +15,7 @@ from quern.llm.ngram_join import near_duplicates
 from quern.llm.packing import pack_documents
 from quern.llm.pii import find_pii
 from quern.llm.quality_crf import score_quality
-from quern.llm.substring_dedup import duplicate_units
+from quern.llm.substring_dedup import MIN_RUN_WORDS, duplicate_units
 from quern.llm.token_counts import token_counts
 
 
@@ -52,11 +52,12 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicate_units(read_table(spark, sf_dir, "documents"))
+    # Short stock lines stay: a document that holds one is no copy.
+    return duplicate_units(read_table(spark, sf_dir, "documents"), MIN_RUN_WORDS, MIN_RUN_WORDS)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_pii(read_table(spark, sf_dir, "documents"))
+    return find_pii(read_table(spark, sf_dir, "documents"), with_text=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

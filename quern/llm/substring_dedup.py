@@ -3,8 +3,8 @@
 Every line is cut at sentence ends into units, and long sentences after words that their
 own hashes choose, so that copies are cut alike wherever they stand. Each unit is hashed,
 the digests are grouped over the whole corpus, the earliest ranked occurrence of
-each digest stays, and the others are removed where they stand in a run of some
-length. Removed units keep their offsets in the original text.
+each digest stays, and the others are removed where they make up their whole line or stand
+in a run of some length. Removed units keep their offsets in the original text.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import materialize
 
-#: Words in a run of removed units, at least.
+#: Words in a run of removed units that is not a whole line, at least.
 MIN_RUN_WORDS = 20
+#: Words of a line that goes because all its units repeat, at least.
+MIN_LINE_WORDS = 1
 #: Sentences of more words are cut after every word whose hash ends in ``CUT_BITS`` zeros,
 #: so a passage that was pasted into the middle of a sentence loses few words at its ends.
 LONG_SENTENCE = 12
@@ -47,18 +49,19 @@ def _sentence_cuts(line: str) -> list[int]:
         begin = end
     return out
 
-SCHEMA = "doc_id long, unit int, start long, length long, words int, d1 long, d2 long"
 
+SCHEMA = "doc_id long, row long, line int, unit int, start long, length long, words int, d1 long, d2 long"
 
-def split_units(text: str, min_words: int = MIN_UNIT_WORDS) -> list[tuple[int, int, int, str]]:
-    """``(start, length, words, normalised form)`` of the units of ``text``.
+
+def split_units(text: str, min_words: int = MIN_UNIT_WORDS) -> list[tuple[int, int, int, int, str]]:
+    """``(line, start, length, words, normalised form)`` of the units of ``text``.
 
     Offsets are code points. A unit never crosses a line; lower case and single
     spaces make the normalised form; units without a word are left out.
     """
     out = []
     at = 0
-    for line in text.split("\n"):
+    for number, line in enumerate(text.split("\n")):
         begin = 0
         cuts = _sentence_cuts(line)
         for k, end in enumerate(cuts):
@@ -66,34 +69,40 @@ def split_units(text: str, min_words: int = MIN_UNIT_WORDS) -> list[tuple[int, i
             if len(words) < min_words and k + 1 < len(cuts):
                 continue
             if words:
-                out.append((at + begin, end - begin, len(words), " ".join(words)))
+                out.append((number, at + begin, end - begin, len(words), " ".join(words)))
             begin = end
         at += len(line) + 1
     return out
 
 
 def hashed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each unit of each document, with a 128-bit digest in two columns."""
+    """A row for each unit of each document, with a 128-bit digest in two columns.
+
+    ``row`` numbers the rows of ``docs`` in the order in which they are read.
+    """
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32()}
+    types = [kinds[x.split()[1]] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "unit", "start", "length", "words", "d1", "d2"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
         cols: list[list] = [[] for _ in names]
+        ids, row, line, unit, start, length, words, d1, d2 = cols
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
             for c in cols:
                 c.clear()
             return batch
 
-        ids, unit, start, length, words, d1, d2 = cols
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
+            keys, rows, texts = batch.columns
             for k in range(batch.num_rows):
-                key = keys[k].as_py()
-                for n, (s, size, w, norm) in enumerate(split_units(texts[k].as_py() or "")):
+                key, number = keys[k].as_py(), rows[k].as_py()
+                for n, (at, s, size, w, norm) in enumerate(split_units(texts[k].as_py() or "")):
                     digest = blake2b(norm.encode(), digest_size=16).digest()
                     ids.append(key)
+                    row.append(number)
+                    line.append(at)
                     unit.append(n)
                     start.append(s)
                     length.append(size)
@@ -105,38 +114,52 @@ def hashed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if ids:
             yield out()
 
-    picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    picked = docs.select(
+        docs[id_col].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), docs[text_col].cast("string").alias("text")
+    )
     return picked.mapInArrow(run, SCHEMA)
 
 
 def duplicate_units(
-    docs: DataFrame, min_run_words: int = MIN_RUN_WORDS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    min_run_words: int = MIN_RUN_WORDS,
+    min_line_words: int = MIN_LINE_WORDS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
-    """The units to remove: ``(doc_id, unit, start, length, words, keep_doc_id, keep_unit)``.
-
-    The occurrence with the smallest (doc_id, unit) of each digest stays. Another one
-    goes if it and the removable units right before and after it in its document have
-    ``min_run_words`` words or more together. A null or empty text has no units; null
-    ids rank first and count as one document, as do rows that repeat an id; an empty
-    table gives an empty result. Counts per digest are combined before the shuffle and
-    the join back is one that the engine may split, so one very common unit does not
-    land in one task.
+    """The units to remove: ``(doc_id, row, unit, start, length, words, keep_doc_id, keep_unit)``.
+
+    The occurrence with the smallest (doc_id, row, unit) of each digest stays, ``row``
+    being the number of the row as it is read, so rows that repeat an id, or have none,
+    are documents of their own. Another occurrence goes if all units of its line repeat
+    and the line has ``min_line_words`` words or more, or if it and the removable units
+    right before and after it have ``min_run_words`` words or more together. With the
+    defaults every repeated line goes, and of other repeats those of some length. A null
+    or empty text has no units; null ids rank first; an empty table gives an empty
+    result; other columns are ignored. Counts per digest are combined before the shuffle
+    and the join back is one that the engine may split, so one very common unit does not
+    land in one task; the windows are each over one document.
     """
     units = materialize(hashed_units(docs, id_col, text_col), "units")
     first = (
         units.groupBy("d1", "d2")
-        .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "unit")).alias("first"))
+        .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "unit")).alias("first"))
         .where("n > 1")
-        .select("d1", "d2", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.unit").alias("keep_unit"))
+        .select("d1", "d2", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.row").alias("keep_row"), F.col("first.unit").alias("keep_unit"))
     )
     first = materialize(first, "first-units")
-    same = F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("unit") == F.col("keep_unit"))
+    same = (F.col("row") == F.col("keep_row")) & (F.col("unit") == F.col("keep_unit"))
     rest = units.join(first, ["d1", "d2"]).where(~same).drop("d1", "d2")
-    by_doc = Window.partitionBy("doc_id").orderBy("unit")
-    rest = rest.withColumn("island", F.col("unit") - F.dense_rank().over(by_doc))
-    run = Window.partitionBy("doc_id", "island")
-    return (
-        rest.withColumn("run_words", F.sum("words").over(run))
-        .where(F.col("run_words") >= min_run_words)
-        .select("doc_id", "unit", "start", "length", "words", "keep_doc_id", "keep_unit")
-    )
+    by_doc = Window.partitionBy("row").orderBy("unit")
+    rest = rest.withColumn("island", F.col("unit") - F.row_number().over(by_doc))
+    rest = rest.withColumn("run_words", F.sum("words").over(Window.partitionBy("row", "island")))
+    goes = F.col("run_words") >= min_run_words
+    if min_line_words < min_run_words:
+        # A line goes whole if no unit of it is left out: the units of a line are numbered
+        # in one run, from that of its first unit to that of its last.
+        of_line = Window.partitionBy("row", "line")
+        ends = units.groupBy("row", "line").agg(F.count("*").alias("line_units"))
+        rest = rest.withColumn("gone", F.count("*").over(of_line)).withColumn("line_words", F.sum("words").over(of_line))
+        rest = rest.join(ends, ["row", "line"])
+        goes = goes | ((F.col("gone") == F.col("line_units")) & (F.col("line_words") >= min_line_words))
+    return rest.where(goes).select("doc_id", "row", "unit", "start", "length", "words", "keep_doc_id", "keep_unit")
