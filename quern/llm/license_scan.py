@@ -227,40 +227,27 @@ def _spaces(s: Column) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
 
 
-def _detections(form: Column) -> Column:
-    """All matches in ``form``: structs of start and end word, rule label and so on.
+def _matched_rules(form: Column) -> Column:
+    """The rules that match ``form``, with the numbers of words of their matches and between them.
 
-    The words before a match are those of the pieces between matches and of the matches
-    before it, so positions come from counting spaces.
+    Each pattern runs once for the matches and once for what lies between; only numbers
+    go on, so a text of very many matches costs its length.
     """
 
     def of_rule(rule: Column) -> Column:
-        found = F.regexp_extract_all(form, rule["p"], F.lit(0))
-        between = F.split(form, rule["p"])
-        state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-        def step(acc: Column, k: Column) -> Column:
-            start = acc["at"] + _spaces(between[k])
-            end = start + _spaces(found[k])
-            here = F.array(F.struct(start.alias("start"), end.alias("end")))
-            return F.struct(end.alias("at"), F.concat(acc["out"], here).alias("out"))
-
-        spans = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), state, step, lambda acc: acc["out"])
-        spans = F.when(F.size(found) > 0, spans).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
-        return F.transform(
-            spans,
-            lambda s: F.struct(
-                s["start"].alias("start"),
-                s["end"].alias("end"),
-                rule["priority"].alias("priority"),
-                rule["label"].alias("label"),
-                rule["confidence"].alias("confidence"),
-                rule["base"].alias("base"),
-            ),
+        return F.struct(
+            rule["priority"].alias("priority"),
+            rule["label"].alias("label"),
+            rule["confidence"].alias("confidence"),
+            rule["base"].alias("base"),
+            rule["p"].alias("p"),
+            F.transform(F.regexp_extract_all(form, rule["p"], F.lit(0)), _spaces).alias("inside"),
+            F.transform(F.split(form, rule["p"]), _spaces).alias("between"),
         )
 
     tried = F.filter(_rule_table(), lambda g: F.contains(form, g["keyword"]))
-    return F.flatten(F.transform(F.flatten(F.transform(tried, lambda g: g["rules"])), of_rule))
+    rules = F.flatten(F.transform(tried, lambda g: F.filter(g["rules"], lambda r: F.rlike(form, r["p"]))))
+    return F.transform(rules, of_rule)
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,9 +270,16 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"),
         F.when(any_word, word_form(text)).alias("form"),
     )
-    found = F.when(form.isNotNull(), _detections(form))
-    rows = rows.select("doc_id", "row", "n_words", F.explode_outer(found).alias("d"))
-    rows = rows.select("doc_id", "row", "n_words", "d.*")
+    found = F.when(form.isNotNull(), _matched_rules(form))
+    rows = rows.select("doc_id", "row", "n_words", F.explode_outer(found).alias("r"))
+    rows = rows.select("doc_id", "row", "n_words", "r.*")
+    rows = rows.select(
+        "doc_id", "row", "n_words", "priority", "label", "confidence", "base", "p",
+        F.posexplode_outer(F.arrays_zip("inside", F.slice("between", 1, F.size("inside")).alias("before"))).alias("k", "m"),
+    ).repartition("row")
+    # Words up to the end of a match: those of all matches of its rule so far and before them.
+    so_far = Window.partitionBy("row", "p").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("end", F.sum(F.col("m.inside") + F.col("m.before")).over(so_far)).withColumn("start", F.col("end") - F.col("m.inside"))
 
     # A detection lies inside another one exactly if an earlier one, by start and then by
     # descending end, ends no sooner; the order also settles equal spans.
