@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame
 BATCH_BYTES = 1 << 20
 PIECE_CHARS = 1 << 16
 
-#: A space or line feed after a plain ASCII letter, digit or point: byte-level
-#: pre-tokenisation always starts a new word there, normalisation never composes
-#: across it, and no special token contains white space.
-_SAFE = re.compile(r"(?<=[A-Za-z0-9.])[ \n]")
+#: A space or line feed after a plain ASCII letter, digit or point, or a full stop or comma
+#: of scripts without blanks after one of their letters: byte-level pre-tokenisation
+#: always starts a new word there, normalisation never composes across it, and no special
+#: token contains any of them.
+_SAFE = re.compile(r"(?<=[A-Za-z0-9.])[ \n]|(?<=[\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF])[\u3001\u3002\uFF0C\uFF01\uFF1F]")
 
 _loaded: dict[str, Callable] = {}
 
@@ -91,7 +92,7 @@ def count_batch(texts: list[str], path: str, batch_bytes: int = BATCH_BYTES) ->
         for piece in split_safely(text) if splits else [text]:
             todo.append(piece)
             owner.append(i)
-            held += len(piece)
+            held += len(piece) if piece.isascii() else len(piece.encode("utf-8", "surrogatepass"))
             if held >= batch_bytes:
                 flush()
     if todo:
