@@ -118,13 +118,15 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _batched(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:
+    """``(keys, texts)`` of about ``size`` characters; a key is a tuple of the columns before the text."""
     keys: list = []
     texts: list[str] = []
     held = 0
     for batch in batches:
+        *ids, last = batch.columns
         for k in range(batch.num_rows):
-            keys.append(batch.column(0)[k].as_py())
-            texts.append(batch.column(1)[k].as_py() or "")
+            keys.append(tuple(c[k].as_py() for c in ids))
+            texts.append(last[k].as_py() or "")
             held += len(texts[-1])
             if held >= size:
                 yield keys, texts
@@ -143,7 +145,10 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n, d1, d2, prefix)``: size and 128-bit digest of the set, its smallest hashes."""
+    """``(doc_id, text_key, n, d1, d2, prefix)``: size and 128-bit digest of the set, its smallest hashes.
+
+    ``text_key`` is the ``xxhash64`` of the text, as rows may repeat an id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in _batched(batches):
@@ -154,16 +159,17 @@ def set_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             values = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(keys, pa.int64()),
+                    *(pa.array(c, pa.int64()) for c in zip(*keys)),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([d[0] for d in digests], pa.int64()),
                     pa.array([d[1] for d in digests], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
                 ],
-                names=["doc_id", "n", "d1", "d2", "prefix"],
+                names=["doc_id", "text_key", "n", "d1", "d2", "prefix"],
             )
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix array<long>")
+    texts = _texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return texts.mapInArrow(run, "doc_id long, text_key long, n long, d1 long, d2 long, prefix array<long>")
 
 
 def set_members(texts: DataFrame) -> DataFrame:
@@ -171,9 +177,9 @@ def set_members(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in _batched(batches):
-            sets = [s if _digest(s)[0] == key else s[:0] for key, s in zip(keys, shingle_sets(texts))]
+            sets = [s if _digest(s)[0] == key else s[:0] for (key,), s in zip(keys, shingle_sets(texts))]
             values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            ids = np.repeat(np.array(keys, np.int64), [len(s) for s in sets])
+            ids = np.repeat(np.array([k for (k,) in keys], np.int64), [len(s) for s in sets])
             for a in range(0, len(values), 200_000):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[a : a + 200_000]), pa.array(_signed(values[a : a + 200_000]))], names=["node", "gram"]
@@ -401,14 +407,10 @@ def link_sets(sets: DataFrame, block: int = BLOCK) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for every row of ``docs``.
+def labelled_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, text_key, n, label)`` for every row: rows of one label are one component.
 
-    ``component_id`` is the smallest doc_id that is reachable by links. A null or empty
-    text, or one of white space, has an empty set, links to nothing and is its own
-    component. A null id stays null and never is the smallest one while its component
-    has another. Repeated rows give repeated results; an empty table gives none; other
-    columns are ignored.
+    The label of a row without a set, ``n`` being 0, means nothing.
     """
     texts = _texts(docs, id_col, text_col)
     rows = materialize(set_rows(docs, id_col, text_col), "ngram-rows")
@@ -425,16 +427,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
     groups = link_sets(ordered_sets(found))
 
-    labelled = rows.select("doc_id", "n", "d1").join(groups.withColumnRenamed("id", "d1"), "d1", "left")
-    labelled = labelled.select("doc_id", "n", F.coalesce("component_id", "d1").alias("label"))
+    labelled = rows.select("doc_id", "text_key", "n", "d1").join(groups.withColumnRenamed("id", "d1"), "d1", "left")
+    return labelled.select("doc_id", "text_key", "n", F.coalesce("component_id", "d1").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` for every row of ``docs``.
+
+    ``component_id`` is the smallest doc_id that is reachable by links. A null or empty
+    text, or one of white space, has an empty set, links to nothing and is its own
+    component. A null id stays null and never is the smallest one while its component
+    has another. Repeated rows give repeated results; an empty table gives none; other
+    columns are ignored.
+    """
+    labelled = labelled_rows(docs, id_col, text_col)
     least = labelled.where("n > 0").groupBy("label").agg(F.count("*").alias("k"), F.min("doc_id").alias("least")).where("k > 1")
     least = materialize(least.select("label", "least"), "ngram-least")
     own = labelled.join(least, (labelled["label"] == least["label"]) & (labelled["n"] > 0), "left")
     return own.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document, that of the smallest id, of every component."""
-    found = near_duplicates(docs)
-    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-gone")
-    return docs.join(maybe_broadcast(gone, BROADCAST_ROWS), "doc_id", "left_anti").select(*docs.columns)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of every component: that of the smallest id, null ids last.
+
+    Rows are told apart by id and text, so a text that stands alone stays whatever other
+    rows have its id; of rows that repeat both one stays. Null and empty texts, and those
+    of white space, are no copies of anything and all stay. All columns of ``docs`` stay,
+    whatever their names.
+    """
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    rows = labelled_rows(docs, id_col, text_col).where("n > 0").select("label", "doc_id", "text_key")
+    groups = materialize(rows.groupBy("label").agg(F.count("*").alias("k"), F.min(rank).alias("r")).where("k > 1"), "near-groups")
+    first = F.col("doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("text_key") == F.col("r.text_key"))
+    own = rows.join(groups.select("label", "r"), "label").select("doc_id", "text_key", first.alias("first"))
+    own = own.groupBy("doc_id", "text_key").agg(F.count("*").alias("rows"), F.first("first").alias("first")).where("not first or rows > 1")
+    own = materialize(own, "near-gone").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("first").alias("__first"))
+    here = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__key"))
+    rest = docs.join(maybe_broadcast(own.select("__id", "__key"), BROADCAST_ROWS), here, "left_anti")
+    # Rows that repeat the id and the text of the one that stays: any of them.
+    again = own.where("__first").select("__id", "__key")
+    if again.isEmpty():
+        return rest.select(*docs.columns)
+    again = docs.join(maybe_broadcast(again, BROADCAST_ROWS), here).dropDuplicates(["__id", "__key"])
+    return rest.select(*docs.columns).unionByName(again.select(*docs.columns))
