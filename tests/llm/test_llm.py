@@ -78,6 +78,16 @@ def test_token_counts_of_other_files(spark, name):
     assert token_counts.token_counts(docs(spark), name).where("n_tokens > 0").count() == 200
 
 
+def test_split_of_text_without_blanks():
+    random.seed(12)
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = token_counts.tokenizer_path(name)
+        t = "".join(random.choice("天地玄黄宇宙洪荒日月あアー、。，！?a \u0301") for _ in range(3000))
+        pieces = token_counts.split_safely(t, 50)
+        assert len(pieces) > 20 and "".join(pieces) == t
+        assert sum(token_counts.count_batch(pieces, path)) == token_counts.count_batch([t], path)[0]
+
+
 # --- license scan ------------------------------------------------------------------------
 def brute_base(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
@@ -86,7 +96,7 @@ def brute_base(text):
 
 
 def test_license_base(spark, odd, none):
-    extra = [(10, "MIT License mit-license, MIT\nLicense"), (11, "apache license 2.0; GNU General Public License v3 or later"), (12, "submit license"), (13, "mit license " * 3000)]
+    extra = [(10, "MIT License mit-license, MIT\nLicense"), (11, "apache license 2.0; GNU General Public License v3 or later"), (12, "submit license"), (13, "mit license " * 30_000), (14, "mit license, apache license. " * 2000 + "general public license")]
     for df in (docs(spark), odd, frame(spark, extra)):
         got = sorted((nz(r.doc_id), r.n_words, r.n_base, nz(r.first_word), nz(r.last_word), r.base_labels) for r in license_scan.scan_licenses(df).collect())
         want = []
@@ -156,22 +166,82 @@ def test_decontamination(spark, odd, none):
                 own[p] = "changed"
             body[50:90] = own
         rows.append((k, " ".join(body)))
+    rows.append((100, "ahead of it stands the phrase one that is too short at all"))
     got = {r.doc_id: r for r in decontaminate.contaminated(frame(spark, rows), bench).collect()}
     assert sorted(got) == list(range(1, 40, 2))
-    assert all(r.item_id == 1 and r.start_word == 50 and r.overlap == 40 and r.matched == 40 - i // 8 for i, r in got.items())
+    assert all(r.item_id == 1 and 30 <= r.matched <= 40 - i // 8 and 50 <= r.start_word < 60 for i, r in got.items())
     left = decontaminate.drop_contaminated(frame(spark, rows), bench)
-    assert sorted(r.doc_id for r in left.collect()) == list(range(0, 40, 2)) and set(EXTRA) <= set(left.columns)
+    assert sorted(r.doc_id for r in left.collect()) == [*range(0, 40, 2), 100] and set(EXTRA) <= set(left.columns)
     assert decontaminate.contaminated(odd, bench).count() == 0 and decontaminate.contaminated(none, bench).count() == 0
     assert decontaminate.contaminated(odd, bench.limit(0)).count() == 0
 
 
-def test_decontamination_against_exact_windows(spark):
+def best_segment(equal):
+    """Best (score, -start, matched, length) of all runs, the shortest of equal ones."""
+    runs = [(sum(equal[i:j]) - decontaminate.SUBSTITUTION * (j - i - sum(equal[i:j])), -i, i - j, sum(equal[i:j]), j - i) for i in range(len(equal)) for j in range(i + 1, len(equal) + 1)]
+    score, start, _, matched, length = max(runs, default=(0, 0, 0, 0, 0))
+    return score, -start, matched, length
+
+
+def brute_leaks(rows, items):
+    out = set()
+    for doc_id, text in rows:
+        d = [w for w in re.split(r"[\s!-/:-@\[-`{-~]+", (text or "").lower()) if w]
+        for item_id, passage in items:
+            w = [x for x in re.split(r"[\s!-/:-@\[-`{-~]+", (passage or "").lower()) if x]
+            if len(w) < decontaminate.MIN_WORDS:
+                continue
+            masks = decontaminate.MASKS if len(w) >= 7 else ("1" * len(w),)
+            best = None
+            for diagonal in range(-len(w), len(d)):
+                low, high = max(0, -diagonal), min(len(w), len(d) - diagonal)
+                equal = [d[diagonal + k] == w[k] for k in range(low, high)]
+                if any(all(equal[i + k] for k, c in enumerate(m) if c == "1") for m in masks for i in range(len(equal) - len(m) + 1)):
+                    score, start, matched, length = best_segment(equal)
+                    if score >= min(decontaminate.MIN_SCORE, len(w)):
+                        best = max(best or (), (score, -(diagonal + low + start), matched, length, len(w)))
+            if best:
+                out.add((nz(doc_id), item_id, -best[1], *best[2:]))
+    return out
+
+
+def test_decontamination_against_all_diagonals(spark):
+    random.seed(15)
+    vocab = ["".join(random.choice("abcdefgh") for _ in range(3)) for _ in range(60)]
+    items = [(k, " ".join(random.choices(vocab, k=n))) for k, n in enumerate((3, 4, 5, 6, 7, 8, 9, 12, 20, 30, 45))]
+    rows = []
+    for k in range(90):
+        body = random.choices(vocab, k=random.choice([0, 3, 40, 60]))
+        own = items[k % len(items)][1].split(" ")
+        kind = k % 4
+        if kind == 0:  # a quote of a part
+            n = random.randint(1, len(own))
+            at = random.randint(0, len(own) - n)
+            own = own[at : at + n]
+        elif kind == 1:  # an inserted word
+            own.insert(random.randint(0, len(own)), "inserted")
+        elif kind == 2:  # substituted words
+            for p in random.sample(range(len(own)), len(own) // 5):
+                own[p] = "other"
+        at = random.randint(0, len(body))
+        body[at:at] = own
+        rows.append((k, " ".join(body)))
+    rows += [(None, rows[5][1]), (5, "another row of this id"), (500, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(frame(spark, rows), bench)
+    out = [(nz(r.doc_id), r.item_id, r.start_word, r.matched, r.overlap, r.item_words) for r in got.collect()]
+    want = brute_leaks(rows, items)
+    assert set(out) == want and len(out) == len(want) > 40
+    keep = [(nz(r.doc_id), r.text) for r in decontaminate.drop_contaminated(frame(spark, rows), bench).collect()]
+    bad = {(x[0]) for x in want}
+    assert sorted(keep, key=str) == sorted([(nz(i), t) for i, t in rows if nz(i) not in bad or t == "another row of this id"], key=str)
+
+
+def test_decontamination_on_tables(spark):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
-    items = {r.item_id: re.sub(r"[^\w\s]", " ", r.text.lower()).split() for r in bench.collect()}
-    want = set()
-    for r in docs(spark).collect():
-        w = " ".join(re.sub(r"[^\w\s]", " ", r.text.lower()).split())
-        want |= {(r.doc_id, i) for i, x in items.items() if " ".join(x) in w}
+    plain = lambda t: " ".join(re.sub(r"[^\w\s]", " ", t.lower()).split())
+    items = {r.item_id: plain(r.text) for r in bench.collect()}
+    want = {(r.doc_id, i) for r in docs(spark).collect() for i, x in items.items() if x in plain(r.text)}
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark), bench).collect()}
     assert want and want <= got
 
@@ -503,6 +573,16 @@ def test_ngram_join(spark, odd, none):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in components(rows)}) and set(EXTRA) <= set(kept.columns)
 
 
+def test_keep_one_of_rows_that_repeat_an_id(spark, odd, none):
+    text = " ".join(f"w{k}" for k in range(60))
+    near = text.replace("w59", "other")
+    rows = [(1, text), (1, "quite another text under the same id it stays"), (2, near), (2, near), (None, text), (None, "alone without any id but unique as a text"), (3, None), (3, None), (4, ""), (5, "copies of one row stand here twice"), (5, "copies of one row stand here twice"), (None, "no id at all and twice the same text"), (None, "no id at all and twice the same text")]
+    got = sorted(((nz(r.doc_id), r.text or "") for r in ngram_join.keep_one(frame(spark, rows)).collect()))
+    assert got == sorted([(1, text), (1, rows[1][1]), (-1, rows[5][1]), (3, ""), (3, ""), (4, ""), (5, rows[9][1]), (-1, rows[11][1])])
+    assert ngram_join.keep_one(odd).columns == odd.columns and ngram_join.keep_one(odd).count() == len(ODD) - 2
+    assert ngram_join.keep_one(none).count() == 0
+
+
 def test_large_clusters_are_cut(spark):
     random.seed(9)
     vocab = ["".join(random.choice("abcdef") for _ in range(5)) for _ in range(2000)]
@@ -544,30 +624,37 @@ def test_substring_dedup(spark, odd, none):
     word = lambda: "".join(random.choice("abcdefgh") for _ in range(6))
     sentence = lambda: " ".join(word() for _ in range(10)) + "."
     passage = " ".join(sentence() for _ in range(6))
-    rows = [(k, "\n".join([sentence(), f"{word()} {passage} {word()}" if k % 3 == 0 else sentence(), sentence()])) for k in range(30)]
+    stock = sentence()
+    rows = [(k, "\n".join([sentence(), f"{word()} {passage} {word()}" if k % 3 == 0 else sentence(), stock if k % 5 == 4 else sentence()])) for k in range(30)]
     df = frame(spark, rows)
     got = substring_dedup.duplicate_units(df).collect()
-    assert {r.doc_id for r in got} == {k for k in range(3, 30, 3)} and {r.keep_doc_id for r in got} == {0}
+    assert {r.doc_id for r in got} == {k for k in range(1, 30) if k % 3 == 0 or k % 5 == 4 and k > 4}
+    long = substring_dedup.duplicate_units(df, min_line_words=20).collect()
+    assert {r.doc_id for r in long} == set(range(3, 30, 3)) and {r.keep_doc_id for r in long} == {0}
     texts = dict(rows)
     # Brute force: the units themselves, first places kept, runs of 20 words.
     first, units = {}, {}
     for k, t in rows:
         units[k] = substring_dedup.split_units(t)
-        for n, (_, _, _, norm) in enumerate(units[k]):
+        for n, (*_, norm) in enumerate(units[k]):
             first.setdefault(norm, (k, n))
     want = set()
     for k, own in units.items():
         run = []
-        for n, (s, size, w, norm) in enumerate([*own, (0, 0, 0, None)]):
+        for n, (line, s, size, w, norm) in enumerate([*own, (0, 0, 0, 0, None)]):
             if norm is not None and first[norm] != (k, n):
                 run.append((k, n, s, size, w))
+                if all(first[x[4]] != (k, m) for m, x in enumerate(own) if x[0] == line):
+                    want.add(run[-1])
             else:
                 if sum(x[4] for x in run) >= substring_dedup.MIN_RUN_WORDS:
                     want |= set(run)
                 run = []
     assert {(r.doc_id, r.unit, r.start, r.length, r.words) for r in got} == want
-    assert all(" ".join(texts[r.doc_id][r.start : r.start + r.length].lower().split()) in passage for r in got)
-    assert substring_dedup.duplicate_units(odd, 5).count() == 1 and substring_dedup.duplicate_units(none).count() == 0
+    assert all(" ".join(texts[r.doc_id][r.start : r.start + r.length].lower().split()) in passage + stock for r in got)
+    assert [r.doc_id for r in substring_dedup.duplicate_units(odd).orderBy("doc_id").collect()] == [5, 6] and substring_dedup.duplicate_units(none).count() == 0
+    nulls = [(None, "one line that repeats"), (None, "one line that repeats"), (None, "another one of them"), (3, "one line that repeats")]
+    assert sorted(nz(r.doc_id) for r in substring_dedup.duplicate_units(frame(spark, nulls)).collect()) == [-1, 3]
 
 
 def test_substring_dedup_of_passages_inside_sentences(spark):
