@@ -131,9 +131,11 @@ def step_cost(kind: Column, weight: Column) -> Column:
 def shortest_paths(edges: DataFrame, starts: DataFrame, max_hops: int) -> DataFrame:
     """``(start, node, cost, hops)``: cheapest way from every start in at most ``max_hops`` steps.
 
-    Each step is one join with the edges and one minimum, for all starts together. The
-    step before keeps only improved nodes, so settled ones do no more work.
+    Each step is one join with the edges and one minimum, for all starts together. Only
+    nodes that the step before improved go on, so settled ones do no more work.
     """
+    from quern.sources.sinks import materialize
+
     steps = edges.select("src", "dst", step_cost(F.col("kind"), F.col("weight")).alias("step"))
     steps = steps.groupBy("src", "dst").agg(F.min("step").alias("step"))
     best = starts.select("start", F.col("start").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops"))
@@ -141,45 +143,67 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, max_hops: int) -> DataFr
     for k in range(1, max_hops + 1):
         level = level.join(steps, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.lit(k).alias("hops"))
         level = level.groupBy("start", "node").agg(F.min("cost").alias("cost"), F.min("hops").alias("hops"))
-        best = best.unionByName(level)
-    rank = F.row_number().over(Window.partitionBy("start", "node").orderBy("cost", "hops"))
-    return best.withColumn("r", rank).where("r = 1").drop("r")
+        known = best.select("start", "node", F.col("cost").alias("known"))
+        level = materialize(level.join(known, ["start", "node"], "left").where("known is null or cost < known").drop("known"))
+        better = level.select("start", "node")
+        best = materialize(best.join(better, ["start", "node"], "left_anti").unionByName(level))
+    return best
 
 
-def reachability(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Transitive closure ``(src, dst)`` by doubling: each round squares the reach."""
+def _spread(labels: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
+    """``labels(node, label)`` after every node has taken the least label that reaches it."""
     from quern.sources.sinks import materialize
 
-    now = materialize(edges.select("src", "dst").distinct())
-    count = now.count()
+    now = materialize(labels)
+    fresh = now
     for _ in range(max_rounds):
-        a, b = now.select("src", F.col("dst").alias("m")), now.select(F.col("src").alias("m"), "dst")
-        now = materialize(now.unionByName(a.join(b, "m").select("src", "dst")).distinct())
-        count, before = now.count(), count
-        if count == before:
+        sent = fresh.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("new"))
+        step = materialize(now.join(sent, "node", "left").select("node", F.least("label", "new").alias("label"), (F.col("new") < F.col("label")).alias("moved")))
+        now, fresh = step.select("node", "label"), step.where("moved").select("node", "label")
+        if fresh.isEmpty():
             break
     return now
 
 
-def cycle_members(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def cycle_members(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """``(path, cycle_id)``: files that reach themselves, by strongly connected component.
 
-    Files outside any cycle are trimmed first, as they lie on no way back: a file needs
-    an edge in and an edge out among those left. The closure covers what remains.
+    Each round trims files outside any cycle, colours every file with the least one that
+    reaches it, and goes back from there within its colour: what is met reaches the root
+    of the colour and is reached by it, so it is the component of the root. Components
+    leave, and the rest goes on. Only edges and labels are held, never the closure.
     """
     from quern.sources.sinks import materialize
 
-    e = materialize(edges.select("src", "dst").distinct())
-    count = e.count()
+    loops = edges.where("src = dst").select(F.col("src").alias("path"), F.col("src").alias("cycle_id")).distinct()
+    e = materialize(edges.where("src <> dst").select("src", "dst").distinct())
+    found = None
     for _ in range(max_rounds):
-        heads, tails = e.select(F.col("src").alias("dst")).distinct(), e.select(F.col("dst").alias("src")).distinct()
-        e = materialize(e.join(heads, "dst", "left_semi").join(tails, "src", "left_semi").select("src", "dst"))
-        count, before = e.count(), count
-        if count == before:
+        count = e.count()
+        while count:
+            heads, tails = e.select(F.col("src").alias("dst")).distinct(), e.select(F.col("dst").alias("src")).distinct()
+            e = materialize(e.join(heads, "dst", "left_semi").join(tails, "src", "left_semi").select("src", "dst"))
+            count, before = e.count(), count
+            if count == before:
+                break
+        if not count:
             break
-    reach = reachability(e, max_rounds)
-    both = reach.join(reach.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
-    return both.groupBy(F.col("src").alias("path")).agg(F.min("dst").alias("cycle_id"))
+        nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        colour = materialize(_spread(nodes.select("node", F.col("node").alias("label")), e, max_rounds))
+        own = e.join(colour.select(F.col("node").alias("src"), F.col("label").alias("c1")), "src").join(colour.select(F.col("node").alias("dst"), F.col("label").alias("c2")), "dst")
+        own = own.where("c1 = c2")
+        back = materialize(own.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        # 0 at the root of a colour, 1 elsewhere: what gets 0 on the way back is the component.
+        start = colour.select("node", "label", F.when(F.col("node") == F.col("label"), 0).otherwise(1).alias("mark"))
+        met = _spread(start.select("node", F.col("mark").alias("label")), back, max_rounds).where("label = 0").select("node")
+        part = materialize(colour.join(met, "node").select(F.col("node").alias("path"), F.col("label").alias("cycle_id")))
+        found = part if found is None else found.unionByName(part)
+        gone = part.select("path")
+        e = materialize(e.join(gone.withColumnRenamed("path", "src"), "src", "left_anti").join(gone.withColumnRenamed("path", "dst"), "dst", "left_anti").select("src", "dst"))
+    if found is None:
+        return loops
+    found = found.join(found.groupBy("cycle_id").agg(F.count("*").alias("k")).where("k > 1").select("cycle_id"), "cycle_id").select("path", "cycle_id")
+    return found.unionByName(loops.join(found.select("path"), "path", "left_anti"))
 
 
 def layering(edges: DataFrame, zones: DataFrame, allowed: DataFrame, forbidden: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ the trade between customers' and suppliers' nations.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.operators import graph as G
@@ -104,9 +105,12 @@ def edge_evidence(spark, d):
 
 
 def cycle_members(spark, d):
-    """Users whose sessions follow each other: an edge when events of two types alternate."""
-    e = A.table(spark, d, "events").select(F.col("user_id").alias("src"), ((F.col("user_id") * 7 + F.length("event_type") * 13) % 150).alias("dst"))
-    return G.cycle_members(e.where("src < dst + 40"))
+    """Users in turn: an edge from one with an error to the next one of the day if that one buys."""
+    by = Window.partitionBy(F.date_trunc("day", "ts")).orderBy("ts", "event_id")
+    e = A.table(spark, d, "events").select(
+        F.col("user_id").alias("src"), F.lead("user_id").over(by).alias("dst"), "event_type", F.lead("event_type").over(by).alias("then")
+    )
+    return G.cycle_members(e.where("event_type = 'error' and then = 'purchase'").select("src", "dst"))
 
 
 def layering(spark, d):
@@ -182,7 +186,9 @@ ORDER BY exact DESC, length(name), name, path LIMIT 50""",
 g AS (SELECT path, count(*) AS refs, max(rank) AS rank, arg_min(pos, (-rank, pos)) AS pos FROM r GROUP BY path) SELECT * FROM g ORDER BY rank DESC, refs DESC, pos, path LIMIT 50""",
     "edge_evidence": f"""WITH {_EXACT} SELECT src, dst, arg_min(symbol, (pos, symbol)) AS symbol, min(pos) AS pos FROM (
   SELECT r.path AS src, s.path AS dst, r.symbol, r.pos FROM br r JOIN symbols s ON r.symbol = s.name WHERE r.path <> s.path) GROUP BY src, dst""",
-    "cycle_members": """WITH RECURSIVE e AS (SELECT DISTINCT user_id AS src, (user_id * 7 + length(event_type) * 13) % 150 AS dst FROM events WHERE user_id < (user_id * 7 + length(event_type) * 13) % 150 + 40),
+    "cycle_members": """WITH RECURSIVE n AS (SELECT user_id AS src, lead(user_id) OVER w AS dst, event_type, lead(event_type) OVER w AS next_type FROM events
+  WINDOW w AS (PARTITION BY date_trunc('day', ts) ORDER BY ts, event_id)),
+e AS (SELECT DISTINCT src, dst FROM n WHERE event_type = 'error' AND next_type = 'purchase'),
 r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)
 SELECT a.src AS path, min(a.dst) AS cycle_id FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src""",
     "layering": f"""WITH {_TRADE}, z AS (SELECT n_nationkey AS path, r_name AS zone, r_regionkey AS k FROM nation JOIN region ON n_regionkey = r_regionkey)

@@ -42,6 +42,12 @@ def clone_file_facts(spark, d):
     return K.file_facts(K.exact_runs(t), t.select("path", F.size("words").alias("n")))
 
 
+def clone_classes(spark, d):
+    t = _tokens(spark, d)
+    c = K.clone_classes(K.exact_runs(t), t)
+    return c.groupBy("class_id").agg(F.max("tokens").alias("tokens"), F.count("*").alias("places"), F.countDistinct("path").alias("files"), F.min("path").alias("first")).drop("class_id")
+
+
 def near_miss_clones(spark, d):
     return K.near_misses(_tokens(spark, d))
 
@@ -125,17 +131,25 @@ def upsert_orders(spark, d):
 _TOK = """tk AS (SELECT path, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda t: length(t) >= 2) AS w FROM files),
 sh AS (SELECT path, CAST(unnest(range(len(w) - 7)) AS INTEGER) AS start, unnest(list_transform(range(len(w) - 7), lambda i: array_to_string(w[i + 1:i + 8], ' '))) AS h FROM tk WHERE len(w) >= 8),
 ix AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY h) AS n FROM sh) WHERE n BETWEEN 2 AND 12)"""
-_RUNS = f"""{_TOK}, hit AS (SELECT DISTINCT a.path AS f1, b.path AS f2, b.start - a.start AS diagonal, a.start AS s1 FROM ix a JOIN ix b ON a.h = b.h AND a.path < b.path),
-run AS (SELECT f1, f2, diagonal, min(s1) AS start1, count(*) + 7 AS n_tokens FROM (
-  SELECT *, s1 - row_number() OVER (PARTITION BY f1, f2, diagonal ORDER BY s1) AS island FROM hit) GROUP BY f1, f2, diagonal, island HAVING count(*) + 7 >= 32)"""
+_RUNS = f"""{_TOK}, sx AS (SELECT path, CAST(unnest(range(len(w) - 31)) AS INTEGER) AS start, unnest(list_transform(range(len(w) - 31), lambda i: array_to_string(w[i + 1:i + 32], ' '))) AS h FROM tk WHERE len(w) >= 32),
+ie AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY h) AS n FROM sx) WHERE n BETWEEN 2 AND 12),
+hit AS (SELECT DISTINCT a.path AS f1, b.path AS f2, b.start - a.start AS diagonal, a.start AS s1 FROM ie a JOIN ie b ON a.h = b.h AND a.path < b.path),
+wd AS (SELECT path, CAST(unnest(range(len(w))) AS INTEGER) AS pos, unnest(w) AS t FROM tk),
+eq AS (SELECT f1, f2, diagonal, a.pos AS pos FROM (SELECT DISTINCT f1, f2, diagonal FROM hit) d JOIN wd a ON a.path = f1 JOIN wd b ON b.path = f2 AND b.pos = a.pos + diagonal AND b.t = a.t),
+run AS (SELECT f1, f2, diagonal, min(pos) AS start1, count(*) AS n_tokens FROM (
+  SELECT *, pos - row_number() OVER (PARTITION BY f1, f2, diagonal ORDER BY pos) AS island FROM eq) i LEFT JOIN (SELECT f1, f2, diagonal, s1 AS pos, 1 AS seed FROM hit) USING (f1, f2, diagonal, pos)
+  GROUP BY f1, f2, diagonal, island HAVING count(seed) > 0)"""
 QUERIES = {f.__name__: f for f in (
-    shingle_index, exact_clones, nested_collapse, clone_file_facts, near_miss_clones, changed_since, prune_deleted, delta_edges, fingerprint, privacy_hash,
+    shingle_index, exact_clones, nested_collapse, clone_file_facts, clone_classes, near_miss_clones, changed_since, prune_deleted, delta_edges, fingerprint, privacy_hash,
     privacy_mask, table_counts, top_languages, top_symbols, embedding_cache, upsert_orders,
 )}
 
 ORACLES = {
     "shingle_index": f"WITH {A.FILES}, {_TOK} SELECT path, count(*) AS windows, min(start) AS first, max(n) AS largest FROM ix GROUP BY path",
     "exact_clones": f"WITH {A.FILES}, {_RUNS} SELECT * FROM run",
+    "clone_classes": f"""WITH {A.FILES}, {_RUNS}, p AS (SELECT f1 AS path, start1 AS start, n_tokens FROM run UNION SELECT f2, start1 + diagonal, n_tokens FROM run),
+c AS (SELECT array_to_string(w[start + 1:start + n_tokens], ' ') AS body, n_tokens, path FROM p JOIN tk USING (path))
+SELECT max(n_tokens) AS tokens, count(*) AS places, count(DISTINCT path) AS files, min(path) AS first FROM c GROUP BY body""",
     "nested_collapse": f"""WITH {A.FILES}, {_RUNS}, c AS (SELECT f1 || '|' || f2 || '|' || diagonal || '|' || start1 AS class_id, n_tokens AS tokens, f1 AS path, start1 AS start, start1 + n_tokens - 1 AS "end" FROM run)
 SELECT * FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE a.path = b.path AND b.start <= a.start AND a."end" <= b."end" AND (b.tokens > a.tokens OR (b.tokens = a.tokens AND b.class_id < a.class_id)))""",
     "clone_file_facts": f"""WITH {A.FILES}, {_RUNS}, bo AS (SELECT f1 AS path, f2 AS peer, start1 AS start, n_tokens FROM run UNION ALL SELECT f2, f1, start1 + diagonal, n_tokens FROM run),

@@ -1,7 +1,7 @@
 """Views of the driver's tables in the engine's own data model.
 
-``files``: documents as files. ``symbols``: words that few documents hold, as the
-names they define. ``refs``: all words as references. Each view comes with the same
+``files``: documents as files. ``symbols``: long words as names, each defined by the
+document of the least path that holds it. ``refs``: all words as references. Each view comes with the same
 view in SQL, for the oracle.
 """
 
@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 
-#: A word is a symbol of the documents that hold it when so many at most hold it.
-SYMBOL_DF = 4
+#: Characters of a word that is a name, at least.
 SYMBOL_CHARS = 8
 
 
@@ -51,17 +50,13 @@ REFS = """refs AS (
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(path, name)``: long words that at most ``SYMBOL_DF`` documents hold, one row a document."""
-    r = refs(spark, sf_dir).where(F.length("symbol") >= SYMBOL_CHARS).select("path", F.col("symbol").alias("name")).distinct()
-    rare = r.groupBy("name").agg(F.count("*").alias("df")).where(F.col("df") <= SYMBOL_DF).select("name")
-    return r.join(rare, "name").select("path", "name")
+    """``(path, name)``: long words with the document that defines each, the first one that holds it."""
+    r = refs(spark, sf_dir).where(F.length("symbol") >= SYMBOL_CHARS)
+    return r.groupBy(F.col("symbol").alias("name")).agg(F.min("path").alias("path")).select("path", "name")
 
 
 SYMBOLS = f"""symbols AS (
-  SELECT path, name FROM (
-    SELECT path, name, count(*) OVER (PARTITION BY name) AS df
-    FROM (SELECT DISTINCT path, symbol AS name FROM refs WHERE length(symbol) >= {SYMBOL_CHARS}))
-  WHERE df <= {SYMBOL_DF})"""
+  SELECT min(path) AS path, symbol AS name FROM refs WHERE length(symbol) >= {SYMBOL_CHARS} GROUP BY symbol)"""
 
 
 def deps(spark: SparkSession, sf_dir: str) -> DataFrame:
