@@ -323,7 +323,7 @@ def edit(a, b):
 
 
 def brute_lines(rows):
-    """The lines to remove, by edit similarity of all pairs alone."""
+    """The lines to remove, by edit similarity of all pairs alone: by characters or, from 16 words on, by words."""
     at = [(i, k, line.strip(" \t\r").lower().translate(str.maketrans("123456789", "0" * 9))) for i, t in rows for k, line in enumerate((t or "").split("\n"))]
     at = [x for x in at if x[2]]
     texts = sorted({x[2] for x in at})
@@ -336,8 +336,9 @@ def brute_lines(rows):
 
     for i, a in enumerate(texts):
         for b in texts[:i]:
-            limit = int(max(len(a), len(b)) * (1 - line_dedup.MIN_SIMILARITY))
-            if abs(len(a) - len(b)) <= limit and edit(a, b) <= limit:
+            near = lambda x, y: edit(x, y) <= int(max(len(x), len(y)) * (1 - line_dedup.MIN_SIMILARITY))
+            wa, wb = a.split(" "), b.split(" ")
+            if (min(len(wa), len(wb)) >= line_dedup.GRAM_WORDS and near(wa, wb)) or near(a, b):
                 root[find(a)] = find(b)
     groups = collections.defaultdict(list)
     for i, k, t in at:
@@ -719,7 +720,8 @@ def test_disclosing_terms_against_a_recount(spark):
         for _ in range(random.randint(0, 4)):
             words = random.choices(vocab, k=random.choice([0, 3, 8, 150]))
             for _ in range(random.randint(0, 2)):
-                words.insert(random.randrange(len(words) + 1), random.choice(mails))
+                k_mail = random.randrange(len(mails))
+                words.insert(random.randrange(len(words) + 1), f"{mails[k_mail]} owner{k_mail}" if random.random() < 0.8 else mails[k_mail])
             lines.append(" ".join(words))
         rows.append((k, "\n".join(lines)))
     rows += [(500, None), (501, ""), (None, rows[3][1]), (502, rows[3][1])]
