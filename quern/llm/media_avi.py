@@ -6,7 +6,8 @@ decoder turns back into the same value. Frames are baseline JPEGs of 64 blocks i
 row with a restart marker after each row, so the rows of all frames decode in
 parallel. The reader parses the RIFF index, decodes the intra frames it points to,
 takes grey histograms, and cuts shots where the histogram difference stands out from
-its surroundings, which gives rows of timed clips.
+its surroundings, which gives rows of timed clips. Frames of other writers are decoded
+by the tables that they bring, to the means of their blocks.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quern.llm.jpeg_frames import block_means
+
 #: Blocks in a row: a row is one restart interval.
 ROW = 64
 #: Rows of a frame at most; short payloads get frames of fewer rows.
@@ -265,8 +268,33 @@ def _row_spans(data: bytes, index: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, stop, rows
 
 
+def _own_frames(data: bytes, index: np.ndarray) -> bool:
+    """True if all indexed frames have the header of :func:`write_many`, so that rows decode in lockstep."""
+    if not len(index):
+        return False
+    for header in _HEADERS.values():
+        if data.startswith(header, index[0, 0]):
+            return all(data.startswith(header, a) for a in index[:, 0].tolist())
+    return False
+
+
+def read_foreign(data: bytes) -> tuple[bytes, np.ndarray, dict]:
+    """``(b"", frames, info)`` of an AVI file of any baseline motion-JPEG, frames of one size.
+
+    ``frames`` has the grey mean of every 8x8 block. A frame that is not baseline JPEG
+    is an error; an empty frame repeats the one before it, as such files have it.
+    """
+    info, index = parse_index(data)
+    frames: list[np.ndarray] = []
+    for at, size in index.tolist():
+        frames.append(block_means(data[at : at + size]) if size or not frames else frames[-1])
+    if len({f.shape for f in frames}) > 1:
+        raise ValueError("frames of several sizes")
+    return b"", np.stack(frames) if frames else np.zeros((0, 1, 1), np.uint8), info
+
+
 def read_many(files: list[bytes]) -> list[tuple[bytes, np.ndarray, dict]]:
-    """``(payload, frames, info)`` of stored files, from their bytes alone.
+    """``(payload, frames, info)`` of stored files of :func:`write_many`, from their bytes alone.
 
     ``frames`` holds the grey samples (frames, rows, ROW), one for each 8x8 block. The
     rows of all files decode in lockstep.
@@ -288,12 +316,13 @@ def read_many(files: list[bytes]) -> list[tuple[bytes, np.ndarray, dict]]:
 
 
 def read_avi(data: bytes) -> tuple[bytes, np.ndarray, dict]:
-    return read_many([data])[0]
+    """Payload, frames and info of a file of ours; frames and info of one of another writer."""
+    return read_many([data])[0] if _own_frames(data, parse_index(data)[1]) else read_foreign(data)
 
 
 def histogram_differences(frames: np.ndarray) -> np.ndarray:
     """Half the L1 distance (0 to 1) of the grey histograms of consecutive frames."""
-    n, size = len(frames), frames.shape[1] * ROW
+    n, size = len(frames), frames.shape[1] * frames.shape[2]
     bins = (frames.reshape(n, size) >> 4).astype(np.int64) + np.arange(n)[:, None] * BINS
     hist = np.bincount(bins.ravel(), minlength=n * BINS).reshape(n, BINS)
     return np.abs(np.diff(hist, axis=0)).sum(axis=1) / (2 * size)
@@ -354,7 +383,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def clip_rows(media: DataFrame) -> DataFrame:
-    """Timed clips of the files in ``media(doc_id, media)``; a null file has none."""
+    """Timed clips of the files in ``media(doc_id, media)``; a null file has none, nor has one without frames."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
@@ -363,8 +392,8 @@ def clip_rows(media: DataFrame) -> DataFrame:
             rows = []
             for k in range(batch.num_rows):
                 data = batch.column(1)[k].as_py()
-                if data is not None:
-                    _, frames, info = read_avi(data)
+                _, frames, info = read_avi(data) if data is not None else (b"", (), {})
+                if len(frames):
                     rows += [(batch.column(0)[k].as_py(), *c) for c in clips(frames, info["us"])]
             cols = list(zip(*rows)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
