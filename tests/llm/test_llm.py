@@ -398,7 +398,7 @@ def test_line_recall_by_edit_similarity_alone(spark):
         assert (r.doc_id, r.keep_doc_id) == (r.keep_doc_id + 1, r.keep_doc_id) and r.keep_doc_id in of
         got[of[r.keep_doc_id]] += 1
     share = {case: got[case] / 60 for case in cases}
-    assert all(x >= (0.75 if n == 6 else 0.85) for (n, _), x in share.items()), share
+    assert all(x >= (0.9 if name == "one" else 0.75) for (_, name), x in share.items()), share
     assert sum(x for (_, name), x in share.items() if name == "one") / 7 >= 0.95, share
 
 
@@ -468,6 +468,67 @@ def test_avi_frame_by_a_plain_decoder():
     assert bytes(out) == p
 
 
+def foreign_frame(grey, rng, progressive=False):
+    """A JPEG of blocks of 2x2 luma and two chroma components, with AC codes, tables of its own and restarts."""
+    down, across = grey.shape
+    segment = lambda m, b: bytes([0xFF, m]) + (len(b) + 2).to_bytes(2, "big") + b
+    out = b"\xff\xd8" + segment(0xE0, b"other writer") + segment(0xDB, b"\x01" + bytes([4] * 64) + b"\x12" + (2).to_bytes(2, "big") * 64)
+    out += segment(0xC2 if progressive else 0xC0, bytes([8]) + (down * 8).to_bytes(2, "big") + (across * 8).to_bytes(2, "big") + bytes([3, 1, 0x22, 1, 2, 0x11, 2, 3, 0x11, 2]))
+    dc_values, ac_values = bytes(range(12)), bytes([0x00, 0x01, 0x12, 0xF0, 0x53])
+    out += segment(0xC4, b"\x03" + bytes([0, 0, 0, 0, 12] + [0] * 11) + dc_values) + segment(0xC4, b"\x12" + bytes([0, 1, 1, 3] + [0] * 12) + ac_values)
+    out += segment(0xDD, (2).to_bytes(2, "big")) + segment(0xDA, bytes([3, 1, 0x32, 2, 0x32, 3, 0x32, 0, 63, 0]))
+    ac_code = dict(zip(ac_values, ("00", "010", "0110", "0111", "1000")))
+
+    def number(v):
+        n = abs(v).bit_length()
+        return n, (f"{v if v > 0 else v + (1 << n) - 1:0{n}b}" if n else "")
+
+    bits, level, scan = "", [0, 0, 0], b""
+    order = [(r, c) for r in range(0, down, 2) for c in range(0, across, 2)]
+    for m, (r, c) in enumerate(order):
+        for i, value in [(0, int(grey[y, x])) for y in (r, r + 1) for x in (c, c + 1)] + [(1, 40), (2, 90)]:
+            dc = (value - 128) * 2 if i == 0 else value
+            n, body = number(dc - level[i])
+            level[i] = dc
+            bits += f"{n:05b}" + body
+            for symbol in rng.sample([0x01, 0x12, 0xF0, 0x53], rng.randint(0, 3)):
+                bits += ac_code[symbol] + "".join(rng.choice("01") for _ in range(symbol & 15))
+            bits += ac_code[0]
+        if m % 2 or m + 1 == len(order):
+            bits += "1" * (-len(bits) % 8)
+            scan += int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+            scan += bytes([0xFF, 0xD0 + m // 2 % 8]) if m + 1 < len(order) else b""
+            bits, level = "", [0, 0, 0]
+    return out + scan + b"\xff\xd9"
+
+
+def foreign_avi(frames):
+    chunk = media_avi._chunk
+    body, index, at = b"", b"", 4
+    for f in frames:
+        index += b"00dc" + (16).to_bytes(4, "little") + at.to_bytes(4, "little") + len(f).to_bytes(4, "little")
+        body += chunk(b"00dc", f)
+        at += 8 + len(f) + len(f) % 2
+    head = chunk(b"LIST", b"hdrl" + chunk(b"avih", (40_000).to_bytes(4, "little") + bytes(12) + len(frames).to_bytes(4, "little") + bytes(36)))
+    return chunk(b"RIFF", b"AVI " + head + chunk(b"LIST", b"movi" + body) + chunk(b"idx1", index))
+
+
+def test_avi_of_another_writer(spark):
+    rng = random.Random(4)
+    np.random.seed(4)
+    scenes = [np.random.randint(a, a + 60, (6, 10)) for a in (10, 180, 90)]
+    greys = [scenes[k // 15] for k in range(45)]
+    frames = [foreign_frame(g, rng) for g in greys]
+    data = foreign_avi([*frames, b""])
+    payload, got, info = media_avi.read_avi(data)
+    assert payload == b"" and info["us"] == 40_000 and all((a == b).all() for a, b in zip(got, [*greys, greys[-1]]))
+    rows = spark.createDataFrame([(1, bytearray(data)), (2, None), (3, bytearray(foreign_avi([])))], "doc_id long, media binary")
+    assert [(r.doc_id, r.first_frame, r.n_frames, r.start_s) for r in media_avi.clip_rows(rows).orderBy("clip").collect()] == [(1, 0, 15, 0.0), (1, 15, 15, 0.6), (1, 30, 16, 1.2)]
+    for bad in (foreign_frame(greys[0], rng, progressive=True), frames[0][:300], frames[0].replace(b"\xff\xc4", b"\xff\xe4"), b"no frame"):
+        with pytest.raises(ValueError):
+            media_avi.read_avi(foreign_avi([bad]))
+
+
 def test_shots():
     diff = np.full(40, 0.02)
     diff[[10, 25]] = 0.6
