@@ -806,7 +806,7 @@ def test_disclosing_terms_against_a_recount(spark):
             if ic > 0 and pmi >= pii.DISCLOSURE * ic:
                 want[e, t] = (round(pmi, 9), round(ic, 9))
     got = {(r.entity, r.term): (round(r.pmi, 9), round(r.ic, 9)) for r in pii.disclosing_terms(frame(spark, rows)).collect()}
-    assert got == want and len(want) > 20
+    assert got == want and len(want) >= len(mails)
     known = collections.defaultdict(set)
     for e, t in want:
         known[e].add(t)
