@@ -69,6 +69,58 @@ DEPS = """deps AS (
   SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS path, CAST(l_partkey AS VARCHAR) AS dep FROM lineitem)"""
 
 
+#: Folders and file types of the tree that documents play in :func:`app_files`.
+APP_FOLDERS = ("app/services/", "app/api/", "app/crud/", "app/models/", "app/tests/", "app/plain/", "ui/", "app/query/", "app/validators/")
+APP_TYPES = {"en": ("py", "python"), "de": ("rs", "rust"), "fr": ("ts", "typescript"), "es": ("js", "javascript")}
+#: Characters of a word that is a dependency there.
+DEP_CHARS = 12
+
+
+def app_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a source tree: folders that play roles, types by language, ``doc_id`` kept."""
+    docs = table(spark, sf_dir, "documents")
+    folder = F.element_at(F.array(*[F.lit(x) for x in APP_FOLDERS]), (F.col("doc_id") % len(APP_FOLDERS) + 1).cast("int"))
+    kind, language = F.lit("txt"), F.lit("text")
+    for lang, (ext, name) in APP_TYPES.items():
+        kind = F.when(F.col("lang") == lang, ext).otherwise(kind)
+        language = F.when(F.col("lang") == lang, name).otherwise(language)
+    path = F.concat(folder, "source", F.lit("_"), F.col("doc_id").cast("string"), F.lit("."), kind)
+    return docs.select("doc_id", path.alias("path"), language.alias("language"), F.substring("text", 1, T.SAMPLE_CHARS).alias("sample"), "text")
+
+
+def app_refs(files_df: DataFrame) -> DataFrame:
+    """``(path, symbol, pos)``: long words; those of Rust files qualified, so that only their tails match."""
+    words = files_df.select("path", "language", F.posexplode(T.token_list(F.col("text"))).alias("pos", "word")).where(F.length("word") >= SYMBOL_CHARS)
+    return words.select("path", F.when(F.col("language") == "rust", F.concat(F.lit("m::"), "word")).otherwise(F.col("word")).alias("symbol"), "pos")
+
+
+def app_symbols(refs_df: DataFrame) -> DataFrame:
+    """``(path, name)``: names with the first file that holds each; those of even length are defined by the last one too."""
+    r = refs_df.select("path", T.symbol_tail(F.col("symbol")).alias("name")).groupBy("name").agg(F.min("path").alias("a"), F.max("path").alias("b"))
+    ends = F.when(F.length("name") % 2 == 0, F.array("a", "b")).otherwise(F.array("a"))
+    return r.select(F.explode(F.array_distinct(ends)).alias("path"), "name")
+
+
+def app_deps(refs_df: DataFrame) -> DataFrame:
+    """``(path, dep)``: the longest words are modules that a file depends on."""
+    return refs_df.where(F.length("symbol") >= DEP_CHARS).select("path", F.col("symbol").alias("dep")).distinct()
+
+
+def _case(column: str, values: dict[str, str], otherwise: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + f" ELSE '{otherwise}' END"
+
+
+APP = f"""files AS MATERIALIZED (
+  SELECT doc_id, {list(APP_FOLDERS)!r}[doc_id % {len(APP_FOLDERS)} + 1] || source || '_' || doc_id || '.' || {_case("lang", {k: v[0] for k, v in APP_TYPES.items()}, "txt")} AS path,
+    {_case("lang", {k: v[1] for k, v in APP_TYPES.items()}, "text")} AS language, substr(text, 1, 4096) AS sample, text FROM documents),
+words AS MATERIALIZED (SELECT path, language, unnest(w) AS word, CAST(unnest(range(len(w))) AS INTEGER) AS pos
+  FROM (SELECT path, language, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: length(t) >= 2) AS w FROM files)),
+refs AS MATERIALIZED (SELECT path, CASE WHEN language = 'rust' THEN 'm::' ELSE '' END || word AS symbol, word AS tail, pos FROM words WHERE length(word) >= {SYMBOL_CHARS}),
+symbols AS MATERIALIZED (SELECT DISTINCT path, name FROM (SELECT tail AS name, min(path) AS path FROM refs GROUP BY tail
+  UNION ALL SELECT tail, max(path) FROM refs WHERE length(tail) % 2 = 0 GROUP BY tail)),
+deps AS MATERIALIZED (SELECT DISTINCT path, symbol AS dep FROM refs WHERE length(symbol) >= {DEP_CHARS})"""
+
+
 def with_views(*views: str) -> str:
     """``WITH`` clause of the named views, each with those it needs, in order."""
     return "WITH " + ",\n".join(views)
