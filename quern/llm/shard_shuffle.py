@@ -65,8 +65,10 @@ def shuffle_shards(
     spread = spread.select("doc", "d1", "d2", F.pmod(F.xxhash64("d1", "d2", salt), F.lit(buckets)).alias("bucket"))
 
     # The scatter, then a bucket at a time in the order of its hashes: one array, shuffled.
-    scattered = spread.repartition(min(buckets, MAX_PARTITIONS), "bucket").sortWithinPartitions("bucket", "d1", "d2")
-    held = scattered.groupBy("bucket").agg(F.collect_list("doc").alias("docs"))
+    # Partitions are named, not hashed, so each has its equal part of the buckets.
+    parts = min(buckets, MAX_PARTITIONS)
+    scattered = spread.withColumn("part", (F.col("bucket") % parts).cast("int")).repartitionById(parts, F.col("part")).sortWithinPartitions("bucket", "d1", "d2")
+    held = scattered.groupBy("part", "bucket").agg(F.collect_list("doc").alias("docs"))
     drawn = held.select("bucket", F.posexplode(F.shuffle("docs", seed)).alias("pos", "doc"))
     written = materialize(drawn, "shard-buckets")
     discard(heavy)
