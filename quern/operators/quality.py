@@ -39,8 +39,8 @@ RULES = (
     ("high_change_coupling", "git_cochange_neighbor_count", 10, "high", "risk"),
     ("module_cycle_member", "module_cycle_member", 0, "high", "architecture"),
     ("orphan_module", "orphan_module", 0, "high", "architecture"),
-    ("hub_module", "hub_module", 0, "high", "risk"),
-    ("cross_layer_dependency", "layering_forbidden_edge_count", 0, "high", "architecture"),
+    ("hub_module", "hub_module", 40, "high", "risk"),
+    ("cross_layer_dependency", "layering_cross_edge_count", 0, "high", "architecture"),
     ("layering_unmatched_zone_dependency", "layering_unmatched_edge_count", 0, "high", "architecture"),
     ("dead_code_unused_export_candidate", "dead_code_candidate", 0, "high", "maintainability"),
     ("security_smell_shell_exec", "security_smell_shell_exec", 0, "high", "risk"),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import q_fusion, q_graph, q_incremental, q_investigation, q_lexical, q_lines, q_quality, q_routes, q_vectors, search
+from quern.plans import q_code, q_fusion, q_graph, q_incremental, q_investigation, q_lexical, q_lines, q_quality, q_routes, q_vectors, search
 
-FAMILIES = (q_lines, q_lexical, q_vectors, q_graph, q_fusion, q_quality, q_incremental, q_investigation, q_routes)
+FAMILIES = (q_lines, q_lexical, q_vectors, q_graph, q_fusion, q_quality, q_incremental, q_investigation, q_routes, q_code)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

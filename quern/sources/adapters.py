@@ -77,14 +77,20 @@ DEP_CHARS = 12
 
 
 def app_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as a source tree: folders that play roles, types by language, ``doc_id`` kept."""
+    """Documents as a source tree: folders that play roles, types by language, ``doc_id`` kept.
+
+    Nine documents in a row are one part, a file in each folder, among them its test.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = F.element_at(F.array(*[F.lit(x) for x in APP_FOLDERS]), (F.col("doc_id") % len(APP_FOLDERS) + 1).cast("int"))
     kind, language = F.lit("txt"), F.lit("text")
     for lang, (ext, name) in APP_TYPES.items():
         kind = F.when(F.col("lang") == lang, ext).otherwise(kind)
         language = F.when(F.col("lang") == lang, name).otherwise(language)
-    path = F.concat(folder, "source", F.lit("_"), F.col("doc_id").cast("string"), F.lit("."), kind)
+    number = F.floor(F.col("doc_id") / len(APP_FOLDERS))
+    test = F.col("doc_id") % len(APP_FOLDERS) == APP_FOLDERS.index("app/tests/")
+    deeper = F.when(test & (number % 5 == 0), "integration/").otherwise("")
+    path = F.concat(folder, deeper, F.lit("part"), number.cast("string"), F.when(test, "_test").otherwise(""), F.lit("."), kind)
     return docs.select("doc_id", path.alias("path"), language.alias("language"), F.substring("text", 1, T.SAMPLE_CHARS).alias("sample"), "text")
 
 
@@ -111,7 +117,8 @@ def _case(column: str, values: dict[str, str], otherwise: str) -> str:
 
 
 APP = f"""files AS MATERIALIZED (
-  SELECT doc_id, {list(APP_FOLDERS)!r}[doc_id % {len(APP_FOLDERS)} + 1] || source || '_' || doc_id || '.' || {_case("lang", {k: v[0] for k, v in APP_TYPES.items()}, "txt")} AS path,
+  SELECT doc_id, {list(APP_FOLDERS)!r}[doc_id % {len(APP_FOLDERS)} + 1]
+      || CASE WHEN doc_id % {len(APP_FOLDERS)} = {APP_FOLDERS.index("app/tests/")} THEN CASE WHEN doc_id // {len(APP_FOLDERS)} % 5 = 0 THEN 'integration/' ELSE '' END || 'part' || doc_id // {len(APP_FOLDERS)} || '_test' ELSE 'part' || doc_id // {len(APP_FOLDERS)} END || '.' || {_case("lang", {k: v[0] for k, v in APP_TYPES.items()}, "txt")} AS path,
     {_case("lang", {k: v[1] for k, v in APP_TYPES.items()}, "text")} AS language, substr(text, 1, 4096) AS sample, text FROM documents),
 words AS MATERIALIZED (SELECT path, language, unnest(w) AS word, CAST(unnest(range(len(w))) AS INTEGER) AS pos
   FROM (SELECT path, language, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: length(t) >= 2) AS w FROM files)),
@@ -121,6 +128,82 @@ symbols AS MATERIALIZED (SELECT DISTINCT path, name FROM (SELECT tail AS name, m
 deps AS MATERIALIZED (SELECT DISTINCT path, symbol AS dep FROM refs WHERE length(symbol) >= {DEP_CHARS})"""
 
 
+#: What the lines of a document become as code, one after another; %a to %c are the first words of the line.
+CODE = {
+    "python": (
+        "import %a.%b", "def %a(%b, %c):", "    return %b(%c)", '    rows = f"select {%a} from %b"', "    %a = %b", "class %a:",
+        "    if %a and %b:", "    for %a in %b:", "    # %a %b %c", "    %a.%b(%c)", "    %b = %a + %c", "",
+    ),
+    "rust": (
+        "use %a::%b;", "pub fn %a(%b: %c) {", "    %b(%c)", '    let rows = format!("select {} from %b", %a);', "    let %a = %b;", "pub struct %a {",
+        "    if %a && %b {", "    for %a in %b {", "    // %a %b %c", "    %a.%b(%c);", "    let %b = %a + %c;", "}",
+    ),
+    "script": (
+        "import { %a } from '%b';", "export function %a(%b, %c) {", "  return %b(%c);", "  const rows = `select ${ %a } from %b`;", "  const %a = %b;", "export class %a {",
+        "  if (%a && %b) {", "  for (const %a of %b) {", "  // %a %b %c", "  %a.%b(%c);", "  const %b = %a + %c;", "}",
+    ),
+}
+#: (template, remainder of the id by ten) of lines that are smells in some files.
+CODE_SMELLS = {
+    "python": {(4, 3): "    %a = yaml.load(%b)", (9, 4): "    subprocess.run(%a, shell=True)", (10, 5): "    return open(path_%a).read()"},
+    "rust": {(4, 3): "    let %a = yaml.load(%b);", (9, 4): "    Command::new(%a);", (10, 5): "    let %b = fs::read(path_%a);"},
+    "script": {(4, 3): "  const %a = yaml.load(%b);", (9, 4): "  execSync(%a);", (10, 5): "  readFile(path_%a);"},
+}
+
+
+def _parts(template: str) -> list[str]:
+    """Literal and variable parts of a template, the variables as ``%a``."""
+    import re
+
+    return [x for x in re.split(r"(%[abc])", template) if x]
+
+
+def _kinds(language):
+    """(condition on the language, its templates) of the three kinds of code, the last for all other."""
+    return (("rust", language == "rust"), ("script", language.isin("typescript", "javascript")), ("python", None))
+
+
+def app_code(files_df: DataFrame) -> DataFrame:
+    """:func:`app_files` with code for text: every line by its number and the document's id, made of the line's first words."""
+
+    def line(x, k):
+        words = F.filter(F.split(F.lower(x), "[^a-z]+"), lambda w: F.length(w) >= 2)
+        var = {f"%{v}": F.coalesce(F.get(words, F.lit(i)), F.lit("x")) for i, v in enumerate("abc")}
+        text = lambda t: F.concat(F.lit(""), *[var[p] if p in var else F.lit(p) for p in _parts(t)])
+        number = (F.col("doc_id") + k) % 12
+
+        def of(kind):
+            out = F.element_at(F.array(*[text(t) for t in CODE[kind]]), (number + 1).cast("int"))
+            for (n, r), t in CODE_SMELLS[kind].items():
+                out = F.when((number == n) & (F.col("doc_id") % 10 == r), text(t)).otherwise(out)
+            return out
+
+        out = of("python")
+        for kind, condition in _kinds(F.col("language")):
+            out = out if condition is None else F.when(condition, of(kind)).otherwise(out)
+        return out
+
+    return files_df.withColumn("text", F.array_join(F.transform(T.lines(F.col("text")), line), "\n"))
+
+
+def _sql_template(t: str) -> str:
+    return " || ".join(["''"] + [p[1] if p[0] == "%" and len(p) == 2 and p[1] in "abc" else "'" + p.replace("'", "''") + "'" for p in _parts(t)])
+
+
+def _sql_code(kind: str) -> str:
+    smells = " ".join(f"WHEN n = {n} AND doc_id % 10 = {r} THEN {_sql_template(t)}" for (n, r), t in CODE_SMELLS[kind].items())
+    plain = " ".join(f"WHEN n = {n} THEN {_sql_template(t)}" for n, t in enumerate(CODE[kind]))
+    return f"CASE {smells} {plain} END"
+
+
+#: ``code(path, doc_id, language, i, n, t)``: the lines of :func:`app_code`.
+APP_CODE = f"""code AS MATERIALIZED (SELECT path, doc_id, language, i, n, CASE WHEN language = 'rust' THEN {_sql_code("rust")} WHEN language IN ('typescript', 'javascript') THEN {_sql_code("script")} ELSE {_sql_code("python")} END AS t
+  FROM (SELECT path, doc_id, language, i, (doc_id + i - 1) % 12 AS n, coalesce(w[1], 'x') AS a, coalesce(w[2], 'x') AS b, coalesce(w[3], 'x') AS c
+  FROM (SELECT path, doc_id, language, i, list_filter(regexp_split_to_array(lower(line), '[^a-z]+'), lambda x: length(x) >= 2) AS w
+  FROM (SELECT path, doc_id, language, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i
+  FROM (SELECT path, doc_id, language, CASE WHEN length(text) = 0 THEN CAST([] AS VARCHAR[]) ELSE string_split_regex(regexp_replace(text, '\\n\\z', ''), '\\r?\\n') END AS ls FROM files)))))"""
+
+
 def with_views(*views: str) -> str:
     """``WITH`` clause of the named views, each with those it needs, in order."""
     return "WITH " + ",\n".join(views)
