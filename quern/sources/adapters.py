@@ -128,7 +128,7 @@ symbols AS MATERIALIZED (SELECT DISTINCT path, name FROM (SELECT tail AS name, m
 deps AS MATERIALIZED (SELECT DISTINCT path, symbol AS dep FROM refs WHERE length(symbol) >= {DEP_CHARS})"""
 
 
-#: What the lines of a document become as code, one after another; %a to %c are the first words of the line.
+#: What a line of a document becomes as code, by its length; %a to %c are the first words of the line.
 CODE = {
     "python": (
         "import %a.%b", "def %a(%b, %c):", "    return %b(%c)", '    rows = f"select {%a} from %b"', "    %a = %b", "class %a:",
@@ -143,7 +143,7 @@ CODE = {
         "  if (%a && %b) {", "  for (const %a of %b) {", "  // %a %b %c", "  %a.%b(%c);", "  const %b = %a + %c;", "}",
     ),
 }
-#: (template, remainder of the id by ten) of lines that are smells in some files.
+#: (template, remainder of the twelfth of the length by ten) of lines that are smells.
 CODE_SMELLS = {
     "python": {(4, 3): "    %a = yaml.load(%b)", (9, 4): "    subprocess.run(%a, shell=True)", (10, 5): "    return open(path_%a).read()"},
     "rust": {(4, 3): "    let %a = yaml.load(%b);", (9, 4): "    Command::new(%a);", (10, 5): "    let %b = fs::read(path_%a);"},
@@ -164,18 +164,18 @@ def _kinds(language):
 
 
 def app_code(files_df: DataFrame) -> DataFrame:
-    """:func:`app_files` with code for text: every line by its number and the document's id, made of the line's first words."""
+    """:func:`app_files` with code for text: every line by its length, made of its first words, so copies stay copies."""
 
-    def line(x, k):
+    def line(x):
         words = F.filter(F.split(F.lower(x), "[^a-z]+"), lambda w: F.length(w) >= 2)
         var = {f"%{v}": F.coalesce(F.get(words, F.lit(i)), F.lit("x")) for i, v in enumerate("abc")}
         text = lambda t: F.concat(F.lit(""), *[var[p] if p in var else F.lit(p) for p in _parts(t)])
-        number = (F.col("doc_id") + k) % 12
+        number, smell = F.length(x) % 12, F.floor(F.length(x) / 12) % 10
 
         def of(kind):
             out = F.element_at(F.array(*[text(t) for t in CODE[kind]]), (number + 1).cast("int"))
             for (n, r), t in CODE_SMELLS[kind].items():
-                out = F.when((number == n) & (F.col("doc_id") % 10 == r), text(t)).otherwise(out)
+                out = F.when((number == n) & (smell == r), text(t)).otherwise(out)
             return out
 
         out = of("python")
@@ -191,15 +191,15 @@ def _sql_template(t: str) -> str:
 
 
 def _sql_code(kind: str) -> str:
-    smells = " ".join(f"WHEN n = {n} AND doc_id % 10 = {r} THEN {_sql_template(t)}" for (n, r), t in CODE_SMELLS[kind].items())
+    smells = " ".join(f"WHEN n = {n} AND r = {r} THEN {_sql_template(t)}" for (n, r), t in CODE_SMELLS[kind].items())
     plain = " ".join(f"WHEN n = {n} THEN {_sql_template(t)}" for n, t in enumerate(CODE[kind]))
     return f"CASE {smells} {plain} END"
 
 
 #: ``code(path, doc_id, language, i, n, t)``: the lines of :func:`app_code`.
 APP_CODE = f"""code AS MATERIALIZED (SELECT path, doc_id, language, i, n, CASE WHEN language = 'rust' THEN {_sql_code("rust")} WHEN language IN ('typescript', 'javascript') THEN {_sql_code("script")} ELSE {_sql_code("python")} END AS t
-  FROM (SELECT path, doc_id, language, i, (doc_id + i - 1) % 12 AS n, coalesce(w[1], 'x') AS a, coalesce(w[2], 'x') AS b, coalesce(w[3], 'x') AS c
-  FROM (SELECT path, doc_id, language, i, list_filter(regexp_split_to_array(lower(line), '[^a-z]+'), lambda x: length(x) >= 2) AS w
+  FROM (SELECT path, doc_id, language, i, length(line) % 12 AS n, length(line) // 12 % 10 AS r, coalesce(w[1], 'x') AS a, coalesce(w[2], 'x') AS b, coalesce(w[3], 'x') AS c
+  FROM (SELECT path, doc_id, language, i, line, list_filter(regexp_split_to_array(lower(line), '[^a-z]+'), lambda x: length(x) >= 2) AS w
   FROM (SELECT path, doc_id, language, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i
   FROM (SELECT path, doc_id, language, CASE WHEN length(text) = 0 THEN CAST([] AS VARCHAR[]) ELSE string_split_regex(regexp_replace(text, '\\n\\z', ''), '\\r?\\n') END AS ls FROM files)))))"""
 
