@@ -204,7 +204,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS
 
     The sample is the ``max_docs`` ids with the smallest hashes, so it is the same on
     every run; ids are drawn from the labels alone and their texts never leave the
-    executors.
+    executors. Of rows that repeat an id, the one of the least text hash counts, so the
+    bound holds for rows too.
     """
     known = (
         labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("double").alias("quality"))
@@ -228,7 +229,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "label", "lines", "x"])
 
     # The drawn ids are max_docs rows at most.
-    joined = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "label", "text")
+    joined = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
+    joined = joined.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text").alias("h"), "text")).alias("text"))
     return joined.mapInArrow(run, "doc_id long, label int, lines int, x binary")
 
 

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quern.llm import fill_in_middle as fim
-from quern.llm import prefix_trie, queries, shard_shuffle
+from quern.llm import prefix_trie, quality_crf, queries, shard_shuffle
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("documents", "conversations")
@@ -43,6 +43,16 @@ def test_against_sql(spark, duck, name):
     assert nulls_first(got.select(order).collect()) == nulls_first(want.select(", ".join(order)).fetchall())
 
 
+def test_training_rows_are_bounded_by_rows(spark):
+    """Ids that repeat thousands of times give one training row each."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    docs = spark.range(8000).select((F.col("id") % 40).alias("doc_id"), F.concat(F.lit("line "), F.col("id").cast("string")).alias("text"))
+    rows = quality_crf.training_rows(docs, labels).collect()
+    kept = {i for i in range(40) if zlib.crc32(str(i).encode()) % 5}
+    assert sorted(r.doc_id for r in rows) == sorted(kept)
+    assert len(quality_crf.training_rows(docs, labels, max_docs=7).collect()) == 7
+
+
 # --- fill in the middle --------------------------------------------------------------------
 def plain_transform(text: str, key: str):
     h = [int(hashlib.sha256(key.encode()).hexdigest()[8 * k : 8 * k + 8], 16) for k in range(4)]
