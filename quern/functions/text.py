@@ -99,6 +99,17 @@ def parent(path: Column) -> Column:
     return F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, r"/[^/]*$", "")).otherwise(F.lit(""))
 
 
+def percent_encode(path: Column) -> Column:
+    """All bytes but letters, digits and ``/ . - _`` as ``%XX``.
+
+    The engine's form encoding does the rest; it keeps ``*``, writes a blank as ``+`` and ``/`` as ``%2F``.
+    """
+    out = F.url_encode(path)
+    for was, now in (("+", "%20"), ("*", "%2A"), ("%2F", "/")):
+        out = F.replace(out, F.lit(was), F.lit(now))
+    return out
+
+
 def language_of(path: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in LANGUAGE_BY_EXTENSION.items() for x in pair])
     return F.coalesce(F.try_element_at(table, extension(path)), F.lit("text"))

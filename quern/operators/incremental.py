@@ -41,15 +41,23 @@ def select_run(files: DataFrame, state: DataFrame, since_ms: int | None = None,
     return files
 
 
-def pruned(state: DataFrame, present: DataFrame, failed: DataFrame, failed_prefixes: list[str], allowed: Column | None = None, git_deleted: DataFrame | None = None) -> DataFrame:
-    """Paths to delete: out of scope; else deleted by the commit, or gone and not failed to read."""
+def pruned(state: DataFrame, present: DataFrame, failed: DataFrame, failed_prefixes: list[str] | DataFrame, allowed: Column | None = None, git_deleted: DataFrame | None = None) -> DataFrame:
+    """Paths to delete: out of scope; else deleted by the commit, or gone and not failed to read.
+
+    ``failed_prefixes`` are the folders that could not be walked, a list or ``(prefix)`` rows;
+    what the state has below them stays.
+    """
     out_of_scope = state.where(~allowed).select("path") if allowed is not None else state.select("path").where("false")
     if git_deleted is not None:
         gone = state.join(git_deleted.select("path").distinct(), "path", "left_semi").select("path")
     else:
         gone = state.select("path").join(present.select("path"), "path", "left_anti").join(failed.select("path"), "path", "left_anti")
-        for p in failed_prefixes:
-            gone = gone.where(~F.startswith("path", F.lit(p)))
+        if isinstance(failed_prefixes, DataFrame):
+            kept = F.broadcast(failed_prefixes.where("prefix is not null").select("prefix").distinct())  # folders that failed: few, or the run is void
+            gone = gone.join(kept, F.startswith(gone["path"], kept["prefix"]), "left_anti")
+        else:
+            for p in failed_prefixes:
+                gone = gone.where(~F.startswith("path", F.lit(p)))
     return out_of_scope.union(gone).distinct()
 
 
@@ -77,12 +85,40 @@ def cached_vectors(chunks: DataFrame, cache: DataFrame, model: str, dim: int) ->
     return j.withColumn("cache_state", state).withColumn("vector", F.when(F.col("cache_state") == "hit", F.col("vector")))
 
 
+def digest_parts(line: Column) -> tuple[Column, Column]:
+    """Two sums of 60-bit hashes of the lines of a group: a digest that does not depend on their order.
+
+    Sums combine before the shuffle, so a key with very many rows sends a row from each task.
+    """
+    part = lambda at: F.sum(F.conv(F.substring(F.md5(line.cast("binary")), at, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)")
+    return part(1), part(16)
+
+
+def _line(columns: tuple[str, ...]) -> Column:
+    return F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
+
+
 def fingerprint(rows: DataFrame, key: str, *columns: str) -> DataFrame:
     """``(key, n_rows, fingerprint)``: a digest of a key's rows that does not depend on their order."""
-    line = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
-    return rows.groupBy(key).agg(
-        F.count("*").alias("n_rows"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(line, 256))), ""), 256).alias("fingerprint")
-    )
+    a, b = digest_parts(_line(columns))
+    g = rows.groupBy(key).agg(F.count("*").alias("n_rows"), a.alias("a"), b.alias("b"))
+    return g.select(key, "n_rows", F.concat_ws(":", F.col("a").cast("string"), F.col("b").cast("string")).alias("fingerprint"))
+
+
+def verify_artifacts(stored: DataFrame, actual: DataFrame, key: str = "path") -> DataFrame:
+    """``(key, state, complete)`` of every key that is stored or present.
+
+    ``stored(key, n_rows, fingerprint)`` is what was written down, ``actual`` what
+    :func:`fingerprint` finds: ok, count_differs, content_differs, missing (nothing there) or
+    unrecorded (nothing written down). Only ok ones are complete; the others are to be made again.
+    """
+    s = stored.select(key, F.col("n_rows").alias("s_n"), F.col("fingerprint").alias("s_f"))
+    j = s.join(actual.select(key, "n_rows", "fingerprint"), key, "full")
+    state = (
+        F.when(F.col("n_rows").isNull() & (F.col("s_n") > 0), "missing").when(F.col("s_n").isNull(), "unrecorded").when(F.coalesce("n_rows", F.lit(0)) != F.col("s_n"), "count_differs")
+        .when(F.coalesce("fingerprint", "s_f") != F.col("s_f"), "content_differs").otherwise("ok")
+    )
+    return j.select(key, state.alias("state"), (state == "ok").alias("complete"))
 
 
 def compatible(meta: dict, want: dict) -> list[str]:

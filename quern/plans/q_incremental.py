@@ -13,6 +13,7 @@ from quern.operators import aggregates as G1
 from quern.operators import clones as K
 from quern.operators import graph as G
 from quern.operators import incremental as I
+from quern.operators import json_values as J
 from quern.sources import adapters as A
 from quern.sources.sinks import table_counts as count_tables
 
@@ -139,9 +140,45 @@ eq AS (SELECT f1, f2, diagonal, a.pos AS pos FROM (SELECT DISTINCT f1, f2, diago
 run AS (SELECT f1, f2, diagonal, min(pos) AS start1, count(*) AS n_tokens FROM (
   SELECT *, pos - row_number() OVER (PARTITION BY f1, f2, diagonal ORDER BY pos) AS island FROM eq) i LEFT JOIN (SELECT f1, f2, diagonal, s1 AS pos, 1 AS seed FROM hit) USING (f1, f2, diagonal, pos)
   GROUP BY f1, f2, diagonal, island HAVING count(seed) > 0)"""
+_ITEM = "l_partkey || chr(31) || l_suppkey || chr(31) || l_linenumber || chr(31) || l_returnflag"
+_DIGEST = "sum(CAST('0x' || substr(md5(e), 1, 15) AS HUGEINT)) || ':' || sum(CAST('0x' || substr(md5(e), 16, 15) AS HUGEINT))"
+
+
+def artifact_states(spark, d):
+    """Order lines as stored artifacts of their order, some of them lost, changed, added or never recorded."""
+    li = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
+    cols = ("l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
+    stored = I.fingerprint(li.where("path % 13 <> 0 or path % 11 = 0"), "path", *cols)
+    more = li.where("path % 7 = 0 and path % 11 <> 0").withColumn("l_linenumber", F.col("l_linenumber") + 100)
+    now = li.where("path % 11 <> 0").withColumn("l_returnflag", F.when((F.col("path") % 5 == 0) & (F.col("path") % 7 != 0), "changed").otherwise(F.col("l_returnflag")))
+    return I.verify_artifacts(stored, I.fingerprint(now.unionByName(more), "path", *cols)).groupBy("state").agg(F.count("*").alias("n"))
+
+
+def json_members(spark, d):
+    """Members of the events' properties, by key."""
+    m = J.members(A.table(spark, d, "events"), "props", "event_type")
+    return m.groupBy("event_type", "key").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("long")).alias("total"))
+
+
+def privacy_json(spark, d):
+    """Search results of nested shape as JSON, masked and hashed by the names of their keys."""
+    f = A.files(spark, d)
+    hit = F.struct(
+        "path", F.substring("sample", 1, 40).alias("excerpt"), F.col("size_bytes").alias("score"), F.struct(F.array("path", F.lit("a/")).alias("related_tests"), "language").alias("more")
+    )
+    name = F.substring_index("path", "/", -1)
+    r = f.select(F.col("path").alias("file"), F.to_json(F.struct(F.concat("language", F.lit(" files")).alias("query"), F.array(hit).alias("hits"), F.concat(F.lit("no "), name).alias("error"))).alias("json"))
+    return J.sanitized(r, "json", "mask").unionByName(J.sanitized(r, "json", "hash"))
+
+
+def encoded_paths(spark, d):
+    f = A.files(spark, d)
+    return f.select("path", T.percent_encode(F.concat("path", F.lit(" &"), "language")).alias("encoded"))
+
+
 QUERIES = {f.__name__: f for f in (
     shingle_index, exact_clones, nested_collapse, clone_file_facts, clone_classes, near_miss_clones, changed_since, prune_deleted, delta_edges, fingerprint, privacy_hash,
-    privacy_mask, table_counts, top_languages, top_symbols, embedding_cache, upsert_orders,
+    privacy_mask, artifact_states, json_members, privacy_json, encoded_paths, table_counts, top_languages, top_symbols, embedding_cache, upsert_orders,
 )}
 
 ORACLES = {
@@ -163,7 +200,15 @@ FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0 OR doc_id % 11 = 0""",
     "prune_deleted": """SELECT CAST(doc_id AS VARCHAR) AS path FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 4 = 0 AND doc_id % 8 <> 0 AND NOT starts_with(CAST(doc_id AS VARCHAR), '9')""",
     "delta_edges": f"""WITH {A.FILES}, {A.REFS}, {A.SYMBOLS} SELECT r.path AS src, s.path AS dst, 'ref_exact' AS kind, count(*) AS raw_count, CAST(count(*) AS DOUBLE) AS weight
   FROM refs r JOIN symbols s ON r.symbol = s.name WHERE r.path <> s.path AND length(r.symbol) >= {A.SYMBOL_CHARS} GROUP BY 1, 2""",
-    "fingerprint": """SELECT l_orderkey, count(*) AS n_rows, sha256(array_to_string(list_sort(list(sha256(l_partkey || chr(31) || l_suppkey || chr(31) || l_linenumber || chr(31) || l_returnflag))), '')) AS fingerprint FROM lineitem GROUP BY l_orderkey""",
+    "fingerprint": f"""SELECT l_orderkey, count(*) AS n_rows, {_DIGEST} AS fingerprint FROM (SELECT l_orderkey, {_ITEM} AS e FROM lineitem) GROUP BY l_orderkey""",
+    "artifact_states": """WITH k AS (SELECT DISTINCT l_orderkey AS o FROM lineitem) SELECT CASE WHEN o % 11 = 0 THEN 'missing' WHEN o % 13 = 0 THEN 'unrecorded' WHEN o % 7 = 0 THEN 'count_differs' WHEN o % 5 = 0 THEN 'content_differs' ELSE 'ok' END AS state, count(*) AS n
+FROM k GROUP BY 1""",
+    "json_members": """SELECT event_type, key, count(*) AS n, CAST(sum(CAST(value AS BIGINT)) AS BIGINT) AS total FROM (SELECT event_type, unnest(json_keys(props)) AS key, props FROM events), LATERAL (SELECT json_extract_string(props, key) AS value) GROUP BY event_type, key""",
+    "privacy_json": f"""WITH {A.FILES}, r AS (SELECT path, language, regexp_replace(path, '.*/', '') AS name, substr(sample, 1, 40) AS head, size_bytes FROM files)
+SELECT m.path AS file, json AS json FROM r m, LATERAL (SELECT '{{"query":"<redacted-query>","hits":[{{"path":"<masked:' || name || '>","excerpt":"<redacted-content>","score":' || size_bytes || ',"more":{{"related_tests":["<masked:' || name || '>","<masked:***>"],"language":"' || language || '"}}}}],"error":"operation failed (privacy_mode=mask); details redacted"}}' AS json)
+UNION ALL SELECT m.path, json FROM r m, LATERAL (SELECT '{{"query":"<query-hash:' || substr(sha256(language || ' files'), 1, 12) || '>","hits":[{{"path":"<hash:' || substr(sha256(path), 1, 12) || '>","excerpt":"<content-hash:' || substr(sha256(head), 1, 12) || '>","score":' || size_bytes || ',"more":{{"related_tests":["<hash:' || substr(sha256(path), 1, 12) || '>","<hash:' || substr(sha256('a/'), 1, 12)
+  || '>"],"language":"' || language || '"}}}}],"error":"operation failed (privacy_mode=hash); fingerprint=' || substr(sha256('no ' || name), 1, 12) || '"}}' AS json)""",
+    "encoded_paths": f"""WITH {A.FILES} SELECT path, replace(replace(replace(replace(path || ' &' || language, '%', '%25'), ' ', '%20'), '&', '%26'), 'é', '%C3%A9') AS encoded FROM files""",
     "privacy_hash": f"""WITH {A.FILES}, h AS (SELECT 'h:' || substr(sha256(path), 1, 16) AS p, language FROM files) SELECT p AS path, p AS hit_path, language, p AS more_path FROM h""",
     "privacy_mask": f"WITH {A.FILES} SELECT '***.' || language AS path, language, count(*) AS n FROM files GROUP BY ALL",
     "table_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in ("documents", "events", "lineitem", "orders", "embeddings")),
