@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators import source_text as S
+
 LANGUAGES = ("java", "rust", "python", "javascript", "typescript")
 
 # --- fixed values: declarations, imports and non-calls by language ----------------------
@@ -47,31 +49,12 @@ def family(language: str) -> str:
     return "javascript" if language == "typescript" else language
 
 
-def _code_lines(text: str, language: str, fidelity: bool) -> Iterator[tuple[int, str]]:
-    """Numbered lines without comments; block comments span lines.
+def _code_lines(text: str, language: str, fidelity: bool) -> Iterator[tuple[int, str, str]]:
+    """Numbered lines with strings and comments blanked, and as they are.
 
-    ``fidelity`` strips Python comments at ``//`` rather than ``#``, as the original does.
+    ``fidelity`` strips Python comments at ``//`` alone, as the original does.
     """
-    mark = "//" if fidelity else _COMMENT.get(language, "//")
-    inside = False
-    for n, line in enumerate(text.splitlines(), 1):
-        if language != "python":
-            out, k = "", 0
-            while k < len(line):
-                if inside:
-                    end = line.find("*/", k)
-                    if end < 0:
-                        break
-                    inside, k = False, end + 2
-                else:
-                    begin = line.find("/*", k)
-                    if begin < 0:
-                        out += line[k:]
-                        break
-                    out += line[k:begin]
-                    inside, k = True, begin + 2
-            line = out
-        yield n, line.split(mark, 1)[0]
+    return S.code_lines(text, language, "//" if fidelity and language == "python" else None)
 
 
 def extract_graph(text: str, language: str, fidelity: bool = False) -> dict[str, list]:
@@ -81,9 +64,9 @@ def extract_graph(text: str, language: str, fidelity: bool = False) -> dict[str,
     if language not in LANGUAGES:
         return out
     declare, imports = _DECLARATIONS[lang], _IMPORTS[lang]
-    for n, line in _code_lines(text, lang, fidelity):
-        m = imports.search(line)
-        if m:
+    for n, line, raw in _code_lines(text, lang, fidelity):
+        m = imports.search(raw)
+        if m and line[at := m.start() + len(m[0]) - len(m[0].lstrip())] == raw[at]:
             out["deps"].append(next(g for g in m.groups() if g))
             continue
         m = declare.match(line)
@@ -92,7 +75,7 @@ def extract_graph(text: str, language: str, fidelity: bool = False) -> dict[str,
             own = m.groupdict().get("name") or m.groupdict().get("method")
             kind = m.groupdict().get("kind") or "method"
             if own and own not in _NOT_CALLS:
-                out["symbols"].append((own, kind, n, line.find(own) + 1))
+                out["symbols"].append((own, kind, n, m.start("name" if m.groupdict().get("name") else "method") + 1))
         for c in _CALL.finditer(line):
             name = c["name"]
             if name not in _NOT_CALLS and name != own:
@@ -112,7 +95,7 @@ def complexity(text: str, language: str) -> dict[str, int]:
     branches = cognitive = deepest = returns = longest = params = exports = members = depth = 0
     begun: list[tuple[int, int]] = []
     last = 0
-    for n, line in _code_lines(text, lang, False):
+    for n, line, _ in _code_lines(text, lang, False):
         if not line.strip():
             continue
         last = n
@@ -211,25 +194,25 @@ def metrics_of(facts: DataFrame) -> DataFrame:
 
 
 def symbol_body(text: str, language: str, line: int) -> tuple[int, int, str]:
-    """``(first line, last line, body)`` of the declaration at ``line``: by indent or by braces."""
-    lines = text.splitlines()
+    """``(first line, last line, body)`` of the declaration at ``line``: by indent or by braces, strings and comments aside."""
+    lines, lang = text.splitlines(), family(language)
     if not 1 <= line <= len(lines):
         return 0, 0, ""
-    if family(language) == "python":
-        indent = len(lines[line - 1]) - len(lines[line - 1].lstrip())
+    code = S.blank_code(text, lang).splitlines()
+    if lang == "python":
+        indent = len(code[line - 1]) - len(code[line - 1].lstrip())
         end = line
-        for k in range(line, len(lines)):
-            s = lines[k]
+        for k in range(line, len(code)):
+            s = code[k]
             if s.strip() and len(s) - len(s.lstrip()) <= indent:
                 break
-            if s.strip():
+            if lines[k].strip():
                 end = k + 1
         return line, end, "\n".join(lines[line - 1 : end])
     depth, opened = 0, False
-    for k in range(line - 1, len(lines)):
-        for c in lines[k]:
-            depth += (c == "{") - (c == "}")
-            opened = opened or c == "{"
-        if (opened and depth <= 0) or (not opened and lines[k].rstrip().endswith(";")):
+    for k in range(line - 1, len(code)):
+        depth += code[k].count("{") - code[k].count("}")
+        opened = opened or "{" in code[k]
+        if (opened and depth <= 0) or (not opened and code[k].rstrip().endswith(";")):
             return line, k + 1, "\n".join(lines[line - 1 : k + 1])
     return line, len(lines), "\n".join(lines[line - 1 :])

@@ -94,16 +94,18 @@ def two_hop(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     edges; the strongest arrivals go on with a decay and never straight back; hubs are
     damped. Three joins replace a query for every node.
     """
-    inc = incident(edges).groupBy("path", "other").agg(F.sum("weight").alias("weight"), F.max("weight").alias("best"), F.collect_set("kind").alias("kinds"))
+    near = incident(edges)
+    merged = lambda df, *keep: df.groupBy("path", "other", *keep).agg(F.sum("weight").alias("weight"), F.max("weight").alias("best"), F.collect_set("kind").alias("kinds"))
     top = seeds.orderBy(F.desc("score"), "path").limit(SEED_LIMIT)
     best = F.greatest(F.max("score").over(Window.partitionBy()), F.lit(0.001))  # over at most SEED_LIMIT rows
     strength = F.greatest(F.lit(0.05), F.least(F.lit(1.0), F.greatest(F.col("score"), F.lit(0.0)) / best))
     top = F.broadcast(top.select(F.col("path").alias("seed"), strength.alias("strength")))
-    one = inc.join(top, F.col("path") == F.col("seed")).where("other <> path")
+    # Only the edges at the seeds, then those at the frontier, are merged and moved.
+    one = merged(near.join(top, F.col("path") == F.col("seed")), "seed", "strength").where("other <> path")
     one = one.select(F.col("other").alias("node"), "seed", F.lit(1).alias("hops"), (F.col("strength") * F.col("weight")).alias("c"), (F.col("strength") * F.col("best")).alias("p"), "kinds")
     front = one.orderBy(F.desc("p"), "node", "seed").limit(FRONTIER_LIMIT)
     front = F.broadcast(front.select(F.col("node").alias("path"), "seed", "p", F.col("kinds").alias("own")))
-    two = inc.join(front, "path").where("other <> path and other <> seed")
+    two = merged(near.join(front, "path"), "seed", "p", "own").where("other <> path and other <> seed")
     two = two.select(F.col("other").alias("node"), "seed", F.lit(2).alias("hops"), (F.col("p") * F.col("weight") * SECOND_HOP_DECAY).alias("c"), F.lit(0.0).alias("p"), F.array_union("own", "kinds").alias("kinds"))
     rows = one.unionByName(two).where("c > 0")
     by_seed = rows.groupBy("node", "seed").agg(F.sum("c").alias("c"), F.min("hops").alias("hops"), F.array_distinct(F.flatten(F.collect_list("kinds"))).alias("kinds"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import q_clones, q_code, q_fusion, q_graph, q_incremental, q_intent, q_investigation, q_lexical, q_lines, q_quality, q_routes, q_vectors, search
+from quern.plans import q_clones, q_code, q_extract, q_fusion, q_graph, q_incremental, q_intent, q_investigation, q_lexical, q_lines, q_quality, q_routes, q_vectors, search
 
-FAMILIES = (q_lines, q_lexical, q_vectors, q_graph, q_fusion, q_quality, q_incremental, q_investigation, q_routes, q_code, q_clones, q_intent)
+FAMILIES = (q_lines, q_lexical, q_vectors, q_graph, q_fusion, q_quality, q_incremental, q_investigation, q_routes, q_code, q_clones, q_extract, q_intent)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from quern.operators import graph as G
 from quern.operators import quality as Q
 from quern.operators import snapshot as S
 from quern.plans import q_routes as R
+from quern.plans.shared import once
 from quern.sources import adapters as A
 from quern.sources.sinks import materialize
 
@@ -41,9 +42,13 @@ def _log(spark, d, files):
 
 def _facts(spark, d):
     """``(code files, metrics)`` with every fact of the tree; clones are in :mod:`quern.plans.q_clones`."""
+    return once(spark, d, "facts", lambda: _make_facts(spark, d))
+
+
+def _make_facts(spark, d):
     tree, refs, symbols, deps = R._tree(spark, d)
     code = materialize(A.app_code(tree).drop("sample"))
-    edges = R._edges(refs, symbols, deps)
+    edges = R._edges(spark, d)
     direct = edges.where(F.col("kind").isin(*G.DIRECT_KINDS)).select("src", "dst").distinct()
     fans = materialize(G.fan_in_out(edges))
     pairs = lambda rows: spark.createDataFrame(list(rows), "src_zone string, dst_zone string")
@@ -65,7 +70,7 @@ def rule_facts(spark, d):
 
 def _found(spark, d):
     code, metrics = _facts(spark, d)
-    return code, metrics, materialize(Q.evaluate(metrics, _rules(spark)))
+    return code, metrics, once(spark, d, "violations", lambda: materialize(Q.evaluate(metrics, _rules(spark))))
 
 
 def fact_violations(spark, d):

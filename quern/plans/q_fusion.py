@@ -62,6 +62,16 @@ def hybrid_search(spark, d):
     return S.hybrid_search(spark, d, "open license terms", K)
 
 
+def indexed_search(spark, d):
+    """A question that asks for services and tests, over the written tables of an index."""
+    return S.indexed_search(spark, d, "service tests for license terms", K)
+
+
+def agent_search(spark, d):
+    """The same tables searched as an agent that maps interfaces."""
+    return S.indexed_search(spark, d, "open license terms", K, "api_contract_map")
+
+
 def recall_mrr_ndcg(spark, d):
     """Vector search judged by labels: the ten nearest of every fiftieth vector."""
     emb = A.table(spark, d, "embeddings")
@@ -110,7 +120,7 @@ gra AS (SELECT path, score, row_number() OVER (ORDER BY score DESC, path) AS r F
 _CL = "greatest({1}, least({2}, {0}))"
 
 QUERIES = {f.__name__: f for f in (
-    rrf_fusion, anchor_retention, budget_pack, role_prior, confidence, hybrid_search, recall_mrr_ndcg, latency_percentiles, gate_eval, rollout_bucket, chunk_lexical,
+    rrf_fusion, anchor_retention, budget_pack, role_prior, confidence, hybrid_search, indexed_search, agent_search, recall_mrr_ndcg, latency_percentiles, gate_eval, rollout_bucket, chunk_lexical,
 )}
 
 ORACLES = {

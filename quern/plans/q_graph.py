@@ -10,7 +10,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.operators import graph as G
+from quern.plans.shared import once
 from quern.sources import adapters as A
+from quern.sources.sinks import materialize
 
 ANCHOR, NAME = "src6/6.en", "reenor"
 
@@ -20,7 +22,11 @@ def _refs(spark, d):
 
 
 def _exact(spark, d):
-    return G.edges_ref_exact(_refs(spark, d), A.symbols(spark, d))
+    return once(spark, d, "exact edges", lambda: materialize(G.edges_ref_exact(_refs(spark, d), _symbols(spark, d))))
+
+
+def _symbols(spark, d):
+    return once(spark, d, "symbols", lambda: materialize(A.symbols(spark, d)))
 
 
 def edges_ref_exact(spark, d):
@@ -34,7 +40,7 @@ def _tail_refs(spark, d):
 
 
 def edges_ref_tail_unique(spark, d):
-    once = A.symbols(spark, d).groupBy("name").agg(F.min("path").alias("path"))  # the first file defines it
+    once = _symbols(spark, d).groupBy("name").agg(F.min("path").alias("path"))  # the first file defines it
     return G.edges_ref_tail(_tail_refs(spark, d), once)
 
 
@@ -88,12 +94,12 @@ def shortest_path(spark, d):
 
 def related_files(spark, d):
     none = A.files(spark, d).select("path", F.lit("").alias("dep")).where("false")
-    out = G.related_files(ANCHOR, A.refs(spark, d), A.symbols(spark, d), none)
+    out = G.related_files(ANCHOR, A.refs(spark, d), _symbols(spark, d), none)
     return out.select("path", F.round("score", 6).alias("score"), "ref_out", "ref_in", "symbol_overlap")
 
 
 def symbol_lookup(spark, d):
-    return G.symbol_lookup(A.symbols(spark, d), NAME, 50)
+    return G.symbol_lookup(_symbols(spark, d), NAME, 50)
 
 
 def symbol_references(spark, d):
@@ -101,7 +107,7 @@ def symbol_references(spark, d):
 
 
 def edge_evidence(spark, d):
-    return G.edge_evidence(_exact(spark, d), _refs(spark, d), A.symbols(spark, d))
+    return G.edge_evidence(_exact(spark, d), _refs(spark, d), _symbols(spark, d))
 
 
 def cycle_members(spark, d):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quern.operators import graph as G
 from quern.operators import investigation as I
 from quern.operators import navigation as N
+from quern.plans.shared import once
 from quern.sources import adapters as A
 from quern.sources.sinks import materialize
 
@@ -17,16 +18,21 @@ STARTS = 3
 
 
 def _tree(spark, d):
-    f = A.app_files(spark, d)
-    refs = materialize(A.app_refs(f))
-    symbols = materialize(A.app_symbols(refs))
-    deps = materialize(A.app_deps(refs))
-    return f, refs, symbols, deps
+    def make():
+        f = A.app_files(spark, d)
+        refs = materialize(A.app_refs(f))
+        symbols = materialize(A.app_symbols(refs))
+        return f, refs, symbols, materialize(A.app_deps(refs))
+
+    return once(spark, d, "tree", make)
 
 
-def _edges(refs, symbols, deps):
-    edges = G.edges_ref_exact(refs, symbols).unionByName(G.edges_ref_tail(refs, symbols)).unionByName(G.edges_shared_dep(deps))
-    return materialize(edges)
+def _edges(spark, d):
+    def make():
+        _, refs, symbols, deps = _tree(spark, d)
+        return materialize(G.edges_ref_exact(refs, symbols).unionByName(G.edges_ref_tail(refs, symbols)).unionByName(G.edges_shared_dep(deps)))
+
+    return once(spark, d, "tree edges", make)
 
 
 def _seeds(spark, f, symbols):
@@ -65,11 +71,14 @@ def related_targets(spark, d):
 
 
 def _trace(spark, d):
-    f, refs, symbols, deps = _tree(spark, d)
-    seeds, found = _candidates(spark, f, symbols)
-    targets = N.route_targets(N.prioritized_starts(found, STARTS), f, refs, symbols, deps)
-    routes, gaps = N.route_trace(found, targets, _edges(refs, symbols, deps), STARTS)
-    return seeds, found, routes, gaps
+    def make():
+        f, refs, symbols, deps = _tree(spark, d)
+        seeds, found = _candidates(spark, f, symbols)
+        targets = N.route_targets(N.prioritized_starts(found, STARTS), f, refs, symbols, deps)
+        routes, gaps = N.route_trace(found, targets, _edges(spark, d), STARTS)
+        return seeds, found, materialize(routes), materialize(gaps)
+
+    return once(spark, d, "routes", make)
 
 
 def route_trace(spark, d):
@@ -100,8 +109,7 @@ def call_paths(spark, d):
 
 def ambiguous_edges(spark, d):
     """Edges by kind where names have one or two definitions and some references are qualified."""
-    _, refs, symbols, deps = _tree(spark, d)
-    e = _edges(refs, symbols, deps)
+    e = _edges(spark, d)
     return e.groupBy("src", "kind").agg(F.count("*").alias("edges"), F.sum("raw_count").alias("raw_count"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
@@ -217,3 +225,99 @@ pairs AS (SELECT a.n_nationkey AS start, b.n_nationkey AS target FROM nation a,
 SELECT start, target, array_to_string(nodes, '>') AS nodes, round(cost, 6)::DOUBLE AS cost, round(weight, 6)::DOUBLE AS weight, hops FROM ways""",
     "ambiguous_edges": f"WITH {A.APP}, {_EDGES} SELECT src, kind, count(*) AS edges, CAST(sum(raw_count) AS BIGINT) AS raw_count, round(sum(weight), 6) AS weight FROM ed GROUP BY 1, 2",
 }
+
+
+# --- variants compared, over the routes of every seed ------------------------------------
+#: Lines of code as constraints: (pattern, kind, source, strength).
+GUARDS = ((r"^    (if|for) ", "runtime_guard", "runtime_guard_code", "weak"), (r"^(pub )?(class|struct) ", "model_constraint", "model_declaration", "strong"), (r"^export class ", "model_constraint", "model_declaration", "strong"))
+
+
+def _variants(spark, d):
+    from quern.operators import contracts as K
+
+    f = A.app_files(spark, d)
+    _, _, routes, _ = _trace(spark, d)
+    variants, segments = K.variants_of(routes)
+    code = A.app_code(f).select("path", F.explode(F.split("text", "\n")).alias("line"))
+    hit = F.lit(None).cast("struct<kind:string,source:string,strength:string>")
+    for pattern, kind, source, strength in reversed(GUARDS):
+        hit = F.when(F.rlike("line", F.lit(pattern)), F.struct(F.lit(kind).alias("kind"), F.lit(source).alias("source"), F.lit(strength).alias("strength"))).otherwise(hit)
+    # The least line of each kind is a file's constraint.
+    constraints = code.withColumn("hit", hit).where("hit is not null").groupBy("path", "hit.kind", "hit.source", "hit.strength").agg(F.min("line").alias("text"))
+    part = F.regexp_extract("path", r"part(\d+)", 1)
+    tests = f.where(F.contains("path", F.lit("/tests/"))).select(F.col("path").alias("test"), part.alias("part"))
+    tests = f.select("path", part.alias("part")).join(tests, "part").where("path <> test").select("path", "test")
+    return K, variants, segments, materialize(constraints), tests, f
+
+
+def divergence_signals(spark, d):
+    K, variants, segments, constraints, tests, _ = _variants(spark, d)
+    return K.divergence_signals(variants, K.axis_values(variants, segments, constraints, tests))
+
+
+def divergence_summary(spark, d):
+    K, variants, segments, constraints, tests, _ = _variants(spark, d)
+    return K.divergence_summary(K.divergence_signals(variants, K.axis_values(variants, segments, constraints, tests)))
+
+
+def _generated(f):
+    """Files of the user interface with an even part are generated, of which every fourth names its source."""
+    n = F.regexp_extract("path", r"part(\d+)", 1).cast("long")
+    return f.where(F.startswith("path", F.lit("ui/")) & (n % 2 == 0)).select("path", F.when(n % 4 == 0, "api.yaml").alias("source_hint"))
+
+
+def contract_chain(spark, d):
+    K, variants, segments, _, _, f = _variants(spark, d)
+    return K.contract_chain(variants, segments, _generated(f))
+
+
+def contract_breaks(spark, d):
+    K, variants, segments, _, _, f = _variants(spark, d)
+    return K.contract_breaks(variants, K.contract_chain(variants, segments, _generated(f)))
+
+
+QUERIES |= {f.__name__: f for f in (divergence_signals, divergence_summary, contract_chain, contract_breaks)}
+
+_VAR = f"""{_TRACE}, va AS MATERIALIZED (SELECT seed, seed_kind, rank AS variant, nodes[1] AS path, conf AS confidence, n, nodes, symbol FROM routes),
+sg AS MATERIALIZED (SELECT va.seed, va.seed_kind, variant, c.run - 1 AS pos, c.path, c.kind, c.p AS score FROM va JOIN cut c ON n > 1 AND c.seed = va.seed AND c.seed_kind = va.seed_kind AND c.start = va.path AND c.target = nodes[-1] AND c.symbol IS NOT DISTINCT FROM va.symbol
+  UNION ALL SELECT va.seed, va.seed_kind, variant, 0, path, {_segment("path")}, greatest(0.2, least(1.0, s.score)) FROM va JOIN starts s ON n = 1 AND s.seed = va.seed AND s.seed_kind = va.seed_kind AND s.start = va.path AND s.symbol IS NOT DISTINCT FROM va.symbol),
+cs AS MATERIALIZED (SELECT path, kind, source, strength, min(t) AS text FROM (SELECT path, t, CASE WHEN regexp_matches(t, '^    (if|for) ') THEN 'runtime_guard' ELSE 'model_constraint' END AS kind, CASE WHEN regexp_matches(t, '^    (if|for) ') THEN 'runtime_guard_code' ELSE 'model_declaration' END AS source,
+  CASE WHEN regexp_matches(t, '^    (if|for) ') THEN 'weak' ELSE 'strong' END AS strength FROM code WHERE regexp_matches(t, '^(    (if|for) |(pub )?(class|struct) |export class )')) GROUP BY ALL),
+te AS (SELECT a.path, b.path AS test FROM files a JOIN files b ON a.doc_id // 9 = b.doc_id // 9 AND contains(b.path, '/tests/') AND a.path <> b.path),
+ow AS MATERIALIZED (SELECT DISTINCT seed, seed_kind, variant, path FROM sg), oc AS MATERIALIZED (SELECT * FROM ow JOIN cs USING (path)),
+vl AS MATERIALIZED (SELECT DISTINCT seed, seed_kind, variant, axis, trim(value) AS value FROM (SELECT seed, seed_kind, variant, 'entrypoints' AS axis, path AS value FROM va
+  UNION ALL SELECT seed, seed_kind, variant, 'guards_and_validators', 'validator:' || path FROM sg WHERE {_source("path")} = 'validator' UNION ALL SELECT seed, seed_kind, variant, 'guards_and_validators', 'guard:' || source || ':' || path FROM oc WHERE kind = 'runtime_guard'
+  UNION ALL SELECT seed, seed_kind, variant, 'predicate_signatures', text FROM oc WHERE kind = 'runtime_guard' OR contains(path, 'validator') UNION ALL SELECT seed, seed_kind, variant, 'downstream_symbols', path FROM sg WHERE pos > 0
+  UNION ALL SELECT seed, seed_kind, variant, 'db_entities_and_queries', {_source("path")} || '|' || path FROM sg WHERE kind IN ('crud', 'query') UNION ALL SELECT seed, seed_kind, variant, 'constraint_evidence', text FROM oc
+  UNION ALL SELECT seed, seed_kind, variant, 'strong', text FROM oc WHERE strength = 'strong' UNION ALL SELECT seed, seed_kind, variant, 'test_coverage', test FROM ow JOIN te USING (path)) WHERE trim(value) <> '')"""
+_SIGNALS = f"""{_VAR}, nv AS (SELECT seed, seed_kind, count(*) AS nv FROM va GROUP BY ALL), st2 AS (SELECT seed, seed_kind, variant, axis, string_agg(value, ' | ' ORDER BY value) AS s FROM vl GROUP BY ALL),
+ga AS (SELECT seed, seed_kind, axis, count(DISTINCT s) AS n_values FROM st2 GROUP BY ALL), sh AS (SELECT DISTINCT seed, seed_kind FROM (SELECT seed, seed_kind, value, count(DISTINCT variant) AS k FROM vl WHERE axis = 'strong' GROUP BY ALL) JOIN nv USING (seed, seed_kind) WHERE k = nv),
+tc AS (SELECT seed, seed_kind, count(*) AS tested FROM st2 WHERE axis = 'test_coverage' GROUP BY ALL),
+ax AS (SELECT nv.*, axis, coalesce(n_values, 0) AS n_values, (seed, seed_kind) IN (SELECT (seed, seed_kind) FROM sh) AS shared, (seed, seed_kind) IN (SELECT (seed, seed_kind) FROM vl WHERE vl.axis = 'strong') AS strong, coalesce(tested, 0) < nv AS gap
+  FROM nv CROSS JOIN (SELECT unnest({list(('entrypoints', 'guards_and_validators', 'predicate_signatures', 'downstream_symbols', 'db_entities_and_queries', 'constraint_evidence', 'test_coverage'))!r}) AS axis) LEFT JOIN ga USING (seed, seed_kind, axis) LEFT JOIN tc USING (seed, seed_kind)),
+a2 AS (SELECT *, axis IN ('guards_and_validators', 'predicate_signatures', 'db_entities_and_queries', 'constraint_evidence') AS mat, count(*) FILTER (n_values > 1 AND axis IN ('guards_and_validators', 'predicate_signatures', 'db_entities_and_queries', 'constraint_evidence')) OVER (PARTITION BY seed, seed_kind) AS prox FROM ax),
+si AS MATERIALIZED (SELECT seed, seed_kind, axis, CASE WHEN n_values = 0 THEN 'missing' WHEN n_values = 1 THEN 'consensus' ELSE 'divergence' END AS state, n_values, CASE WHEN n_values < 2 THEN NULL WHEN axis = 'constraint_evidence' AND strong AND NOT shared THEN 'conflicting_hard_constraints'
+  WHEN axis = 'db_entities_and_queries' AND gap THEN 'db_query_without_test_backing' WHEN axis = 'entrypoints' THEN 'entrypoint_only' WHEN axis = 'test_coverage' THEN 'test_only' WHEN axis = 'downstream_symbols' AND shared AND NOT gap THEN 'shared_backing_downstream_variation'
+  WHEN mat AND prox >= 2 THEN 'multi_axis_proxy_corroboration' WHEN mat AND NOT shared AND gap THEN 'single_axis_proxy_plus_test_gap' ELSE 'single_axis_proxy_only' END AS reason FROM a2),
+sj AS MATERIALIZED (SELECT seed, seed_kind, axis, state, n_values, CASE WHEN reason IN ('conflicting_hard_constraints', 'db_query_without_test_backing') THEN 'high_risk' WHEN reason = 'entrypoint_only' THEN 'informational'
+  WHEN reason IN ('multi_axis_proxy_corroboration', 'single_axis_proxy_plus_test_gap') THEN 'suspicious' WHEN reason IS NOT NULL THEN 'likely_expected' END AS severity,
+  CASE WHEN reason = 'conflicting_hard_constraints' THEN 'hard' WHEN reason IN ('entrypoint_only', 'test_only', 'single_axis_proxy_only') THEN 'proxy_only' WHEN reason IS NOT NULL THEN 'corroborated_proxy' END AS evidence_strength, reason FROM si)"""
+_ROLE = f"""CASE WHEN kind IN ('migration', 'query', 'crud') THEN 'schema_or_model' WHEN kind = 'endpoint' THEN 'endpoint' WHEN kind = 'service' THEN CASE WHEN contains(path, 'validator') THEN 'validator' ELSE 'service' END WHEN kind = 'ui' THEN 'consumer' WHEN kind = 'test' THEN 'test' ELSE 'unknown' END"""
+_NEAR = """CASE WHEN seed_kind <> 'path' THEN 0 ELSE coalesce(len(list_filter(range(1, least(len(string_split(seed, '/')), len(string_split(path, '/')))), lambda i: string_split(seed, '/')[1:i] = string_split(path, '/')[1:i])) / nullif(least(len(string_split(seed, '/')), len(string_split(path, '/'))) - 1, 0), 0) END"""
+_CHAIN = f"""{_VAR}, ge AS (SELECT path, CASE WHEN doc_id // 9 % 4 = 0 THEN 'api.yaml' END AS hint FROM files WHERE starts_with(path, 'ui/') AND doc_id // 9 % 2 = 0),
+en AS (SELECT va.seed, va.seed_kind, va.path, confidence * 0.2::DOUBLE AS gain, CASE WHEN ge.path IS NOT NULL THEN 'generated_client' ELSE {_ROLE.replace("(path", "(va.path")} END AS role, ge.path IS NOT NULL AND hint IS NULL AS orphaned FROM va JOIN (SELECT seed, seed_kind, variant, kind FROM sg WHERE pos = 0) USING (seed, seed_kind, variant) LEFT JOIN ge USING (path)),
+li AS (SELECT *, {_NEAR} AS near FROM (SELECT * FROM en UNION ALL SELECT seed, seed_kind, path, greatest(0, least(1, score)) * 0.15::DOUBLE, {_ROLE}, false FROM sg)),
+lk2 AS (SELECT *, CASE WHEN seed_kind <> 'path' OR string_split(seed, '/')[1:4] = string_split(path, '/')[1:4] THEN 1 ELSE 0 END AS ctx, round(CASE role WHEN 'schema_or_model' THEN 1.0 WHEN 'endpoint' THEN 0.94 WHEN 'service' THEN 0.9 WHEN 'validator' THEN 0.84 WHEN 'generated_client' THEN 0.35
+  WHEN 'consumer' THEN 0.52 WHEN 'test' THEN 0.2 ELSE 0.1 END::DOUBLE + gain + near * 0.35::DOUBLE, 6) AS rank_score FROM li WHERE role NOT IN ('test', 'unknown') OR near >= 0.3),
+ch AS MATERIALIZED (SELECT seed, seed_kind, list_position(['schema_or_model', 'migration', 'endpoint', 'service', 'validator', 'adapter', 'generated_client', 'consumer', 'test', 'unknown'], role)::INTEGER AS step, role, path, rank_score, orphaned FROM (
+  SELECT *, row_number() OVER (PARTITION BY seed, seed_kind, role ORDER BY ctx DESC, rank_score DESC, path, orphaned) AS k FROM lk2) WHERE k = 1)"""
+ORACLES |= {
+    "divergence_signals": f"WITH RECURSIVE {A.APP}, {A.APP_CODE}, {_SIGNALS} SELECT * FROM sj",
+    "divergence_summary": f"""WITH RECURSIVE {A.APP}, {A.APP_CODE}, {_SIGNALS} SELECT seed, seed_kind, count(severity) AS divergence_axes, coalesce(['informational', 'likely_expected', 'suspicious', 'high_risk'][max(list_position(['informational', 'likely_expected', 'suspicious', 'high_risk'], severity))], 'informational') AS overall_severity,
+  count(*) FILTER (severity <> 'informational') > 0 AND count(*) FILTER (severity <> 'informational') = count(*) FILTER (severity <> 'informational' AND evidence_strength = 'proxy_only') AS manual_review FROM sj GROUP BY seed, seed_kind""",
+    "contract_chain": f"WITH RECURSIVE {A.APP}, {A.APP_CODE}, {_CHAIN} SELECT * FROM ch",
+    "contract_breaks": f"""WITH RECURSIVE {A.APP}, {A.APP_CODE}, {_CHAIN}, cb AS (SELECT seed, seed_kind, coalesce(bool_or(role = 'schema_or_model'), false) AS sc, coalesce(bool_or(role = 'endpoint'), false) AS ep, coalesce(bool_or(role IN ('service', 'validator')), false) AS sv, coalesce(bool_or(role IN ('generated_client', 'consumer')), false) AS cl,
+  coalesce(bool_or(role = 'test'), false) AS ts, arg_max(path, step) AS last_path, min(path) FILTER (orphaned) AS orphan FROM (SELECT DISTINCT seed, seed_kind FROM va) LEFT JOIN ch USING (seed, seed_kind) GROUP BY ALL)
+SELECT seed, seed_kind, 'service' AS expected_role, 'chain_ended_before_backend_contract_root' AS reason, last_path FROM cb WHERE cl AND NOT sv AND NOT ep UNION ALL SELECT seed, seed_kind, 'schema_or_model', 'schema_or_model_backing_not_found', last_path FROM cb WHERE (ep OR sv) AND NOT sc
+UNION ALL SELECT seed, seed_kind, 'test', 'related_tests_not_found', last_path FROM cb WHERE NOT ts UNION ALL SELECT seed, seed_kind, 'schema_or_model', 'generated_target_without_source_of_truth', orphan FROM cb WHERE orphan IS NOT NULL""",
+}

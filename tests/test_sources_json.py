@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators import extract, source_text
 from quern.operators import incremental as M
 from quern.operators import intent as N
 from quern.operators import json_values as J
@@ -109,3 +110,85 @@ def test_modes_of_agents(spark):
 
 def test_chunk_seed_limit():
     assert [N.chunk_seed_limit(n, 0.2) for n in (30, 40, 120)] == [32, 40, 120]
+
+
+# --- source text ---------------------------------------------------------------------------
+RUST = '''use a::b; // use c::d;
+/* fn gone() { /* nested { */ still gone() } */
+pub fn open(url: &str) -> bool {
+    let x = "http://host/{"; let c = '{'; let life: &'static str = r#"raw " { fn no() "#;
+    call(x, '"') // done(
+}
+pub struct Pair { a: u8 }
+'''
+SCRIPT = '''import { a } from 'pkg'; // import b from 'no'
+const s = "import c from 'not'"; const u = `multi
+ ${x} function hidden() { ` + f(1);
+export function shown(a, b) {
+  return "}" + g('{'); /* h(
+  h( */ }
+class Box { run() { return 1 } }
+'''
+PY = '''import os  # import sys
+def top(a, b):
+    """Text with def inside(): and # marks
+def not_me():
+    """
+    return call("# no comment(", '//') // other(1)  # gone(2)
+
+class Box:
+    @wrap
+    def inner(
+        self, x=")",
+    ):
+        return x
+'''
+JAVA = '''import java.util.List;
+class App {
+    String u = "http://x/{";
+    /* void gone() { */
+    int run(int a) { return helper(a, "}"); }
+}
+'''
+
+
+def test_blanks_keep_places():
+    for text, lang in ((RUST, "rust"), (SCRIPT, "javascript"), (PY, "python"), (JAVA, "java"), ("", "rust"), ("'", "python"), ('"abc', "java"), ("/* open", "rust"), ("`a\nb", "javascript"), ('r"x', "rust")):
+        blank = source_text.blank_code(text, lang)
+        assert len(blank) == len(text) and [k for k, c in enumerate(blank) if c == "\n"] == [k for k, c in enumerate(text) if c == "\n"]
+        assert all(b == c or b == " " for b, c in zip(blank, text))
+
+
+def names(text, language):
+    g = extract.extract_graph(text, language)
+    return [s[0] for s in g["symbols"]], [r[0] for r in g["refs"]], g["deps"]
+
+
+def test_strings_and_comments_mislead_nothing():
+    assert names(RUST, "rust") == (["open", "Pair"], ["call"], ["a::b"])
+    symbols, refs, deps = names(SCRIPT, "typescript")
+    assert "hidden" not in symbols and {"shown", "Box"} <= set(symbols) and refs[:2] == ["f", "g"] and "h" not in refs and deps == ["pkg"]
+    assert names(PY, "python") == (["top", "Box", "inner"], ["call", "other"], ["os"])
+    symbols, refs, deps = names(JAVA, "java")
+    assert symbols == ["App", "run"] and refs == ["helper"] and deps == ["java.util.List"]
+
+
+def test_spans_of_declarations():
+    at = lambda text, lang, line: source_text.exact_span(source_text.blank_code(text, lang).split("\n"), lang, line)
+    assert at(RUST, "rust", 4) == (3, 6) and at(RUST, "rust", 7) == (7, 7)
+    assert at(SCRIPT, "javascript", 5) == (4, 6)
+    assert at(PY, "python", 6) == (2, 7) and at(PY, "python", 11) == (9, 14)
+    assert at("x = 1\n", "python", 1) is None and at(JAVA, "java", 2) is None
+
+
+def test_bodies_fall_back(spark):
+    schema = "path string, language string, text string"
+    files = spark.createDataFrame([("a.rs", "rust", RUST), ("b.sql", "sql", "\n".join(f"line {k}" for k in range(1, 30))), ("c.py", "python", "x = 1\n" * 30), ("d.md", "markdown", ""), ("e.rs", "rust", "fn long() {\n" + "y" * 5000 + "\n}")], schema)
+    chunks = spark.createDataFrame([("b.sql", 0, 1, 5, "one"), ("c.py", 0, 1, 4, "first"), ("c.py", 1, 5, 9, "second")], "path string, chunk_idx int, start_line int, end_line int, excerpt string")
+    asked = spark.createDataFrame([("a.rs", "open", 4), ("b.sql", None, 10), ("c.py", None, None), ("d.md", None, 1), ("e.rs", "long", 1), ("gone.rs", "x", 1)], "path string, symbol string, line int")
+    got = {r.path: r for r in source_text.symbol_bodies(asked, files, chunks).collect()}
+    assert set(got) == {"a.rs", "b.sql", "c.py", "e.rs"}
+    assert (got["a.rs"].how, got["a.rs"].start_line, got["a.rs"].end_line) == ("exact_symbol_span", 3, 6) and got["a.rs"].signature.startswith("pub fn open")
+    assert (got["b.sql"].how, got["b.sql"].start_line, got["b.sql"].end_line) == ("nearest_indexed_lines", 8, 16)
+    assert (got["c.py"].how, got["c.py"].body) == ("chunk_excerpt_anchor", "first")
+    assert got["e.rs"].truncated and len(got["e.rs"].body) == 2000
