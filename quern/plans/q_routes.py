@@ -321,3 +321,62 @@ ORACLES |= {
 SELECT seed, seed_kind, 'service' AS expected_role, 'chain_ended_before_backend_contract_root' AS reason, last_path FROM cb WHERE cl AND NOT sv AND NOT ep UNION ALL SELECT seed, seed_kind, 'schema_or_model', 'schema_or_model_backing_not_found', last_path FROM cb WHERE (ep OR sv) AND NOT sc
 UNION ALL SELECT seed, seed_kind, 'test', 'related_tests_not_found', last_path FROM cb WHERE NOT ts UNION ALL SELECT seed, seed_kind, 'schema_or_model', 'generated_target_without_source_of_truth', orphan FROM cb WHERE orphan IS NOT NULL""",
 }
+
+
+# --- the benchmark of investigations over the routes of every seed -----------------------
+#: (tool, metric, comparator, bound)
+BOUNDS = (("route_trace", "entry_success_at_1", ">=", 0.8), ("route_trace", "entry_success_at_3", ">=", 0.92), ("route_trace", "segment_type_precision", ">=", 0.9), ("route_trace", "unsupported_case_rate", "<=", 0.25), ("route_trace", "anchor_precision", ">=", 0.95))
+
+
+def _benchmark(spark, d):
+    """Cases are seeds of paths and names; they expect their own file as entry, and of the files on the way the role of their folder, interfaces as services."""
+    from quern.operators import benchmarks as B
+
+    f, _, symbols, _ = _tree(spark, d)
+    seeds, found, routes, gaps = _trace(spark, d)
+    case = F.concat_ws(":", "seed_kind", "seed").alias("case_id")
+    stated = seeds.where("seed_kind in ('path', 'symbol')")
+    own = stated.where("seed_kind = 'path'").select(case, F.col("seed").alias("key")).unionByName(stated.where("seed_kind = 'symbol'").join(symbols, F.col("seed") == F.col("name")).select(case, F.col("path").alias("key")))
+    kinds = F.when(F.startswith("key", F.lit("app/api/")), "service").otherwise(I.route_segment(F.col("key")))
+    segments = routes.select(case, "rank", F.explode("segments").alias("s")).select("case_id", F.lit("segment").alias("what"), "rank", F.col("s.path").alias("key"), F.col("s.kind").alias("kind"))
+    entries = routes.select(case, F.lit("entry").alias("what"), "rank", F.get("nodes", F.lit(0)).alias("key"), F.lit(None).cast("string").alias("kind"))
+    expected = own.select("case_id", F.lit("entry").alias("what"), "key", F.lit(None).cast("string").alias("kind"))
+    cases = stated.select(case, F.lit("route_trace").alias("tool"))
+    mine = segments.join(cases.select("case_id"), "case_id", "left_semi")
+    expected = expected.unionByName(mine.select("case_id", "what", "key").distinct().withColumn("kind", kinds))
+    return B, cases, B.case_counts(cases, expected, entries.unionByName(segments)), N.capability(seeds, found, routes, gaps)
+
+
+def benchmark_metrics(spark, d):
+    B, _, counts, _ = _benchmark(spark, d)
+    return B.tool_metrics(counts).withColumn("value", F.round("value", 6))
+
+
+def benchmark_gate(spark, d):
+    B, cases, counts, status = _benchmark(spark, d)
+    status = status.where("seed_kind in ('path', 'symbol')").select(F.concat_ws(":", "seed_kind", "seed").alias("case_id"), "status")
+    runs = cases.join(status, "case_id").join(counts.where("what = 'entry'").select("case_id", F.col("at_1").alias("passed")), "case_id").withColumn("latency_ms", F.lit(1.0))
+    bounds = spark.createDataFrame(list(BOUNDS), "tool string, metric string, comparator string, bound double")
+    return B.threshold_gate(B.tool_metrics(counts).unionByName(B.run_metrics(runs)), bounds).withColumn("actual", F.round("actual", 6))
+
+
+QUERIES |= {f.__name__: f for f in (benchmark_metrics, benchmark_gate)}
+
+_BENCH = f"""{_VAR}, ca AS (SELECT seed, seed_kind FROM seeds WHERE seed_kind IN ('path', 'symbol')),
+ow2 AS (SELECT seed, seed_kind, seed AS key FROM ca WHERE seed_kind = 'path' UNION SELECT seed, seed_kind, path FROM ca JOIN symbols ON seed = name AND seed_kind = 'symbol'),
+rt AS (SELECT va.seed, va.seed_kind, 'entry' AS what, variant AS rank, path AS key, NULL::VARCHAR AS kind FROM va JOIN ca USING (seed, seed_kind) UNION ALL SELECT sg.seed, sg.seed_kind, 'segment', variant, path, kind FROM sg JOIN ca USING (seed, seed_kind)),
+xp AS (SELECT seed, seed_kind, 'entry' AS what, key, NULL::VARCHAR AS kind FROM ow2 UNION ALL SELECT DISTINCT seed, seed_kind, 'segment', key, CASE WHEN starts_with(key, 'app/api/') THEN 'service' ELSE {_segment("key")} END FROM rt WHERE what = 'segment'),
+hi2 AS (SELECT DISTINCT r.seed, r.seed_kind, r.what, r.key, r.rank, r.kind IS NOT DISTINCT FROM x.kind AS typed FROM rt r JOIN xp x ON r.seed = x.seed AND r.seed_kind = x.seed_kind AND r.what = x.what AND r.key = x.key),
+cc AS MATERIALIZED (SELECT what, seed, seed_kind, (SELECT count(DISTINCT key) FROM xp WHERE xp.seed = k.seed AND xp.seed_kind = k.seed_kind AND xp.what = k.what) AS e, (SELECT count(*) FROM rt WHERE rt.seed = k.seed AND rt.seed_kind = k.seed_kind AND rt.what = k.what) AS r,
+  (SELECT count(*) FROM (SELECT DISTINCT key, rank FROM hi2 WHERE hi2.seed = k.seed AND hi2.seed_kind = k.seed_kind AND hi2.what = k.what)) AS m, (SELECT count(*) FROM (SELECT DISTINCT key, rank FROM hi2 WHERE typed AND hi2.seed = k.seed AND hi2.seed_kind = k.seed_kind AND hi2.what = k.what)) AS t,
+  (SELECT count(DISTINCT key) FROM hi2 WHERE rank <= 3 AND hi2.seed = k.seed AND hi2.seed_kind = k.seed_kind AND hi2.what = k.what) AS c, (SELECT min(rank) FROM hi2 WHERE hi2.seed = k.seed AND hi2.seed_kind = k.seed_kind AND hi2.what = k.what) AS first
+  FROM (SELECT DISTINCT what, seed, seed_kind FROM rt UNION SELECT DISTINCT what, seed, seed_kind FROM xp) k),
+tm AS MATERIALIZED (SELECT what, unnest(['precision', 'type_precision', 'recall_at_3', 'success_at_1', 'success_at_3', 'false_rate']) AS name, unnest([sum(m) / nullif(sum(r), 0), sum(t) / nullif(sum(m), 0), sum(c) / nullif(sum(e), 0), count(*) FILTER (e > 0 AND first <= 1) / nullif(count(*) FILTER (e > 0), 0),
+  count(*) FILTER (e > 0 AND first <= 3) / nullif(count(*) FILTER (e > 0), 0), coalesce(sum(r) FILTER (e = 0), 0) / nullif(sum(r), 0)]) AS value FROM cc GROUP BY what),
+ts AS MATERIALIZED (SELECT 'route_trace' AS tool, what || '_' || name AS metric, value FROM tm WHERE value IS NOT NULL)"""
+ORACLES |= {
+    "benchmark_metrics": f"WITH RECURSIVE {A.APP}, {A.APP_CODE}, {_BENCH} SELECT tool, metric, round(value, 6)::DOUBLE AS value FROM ts",
+    "benchmark_gate": f"""WITH RECURSIVE {A.APP}, {A.APP_CODE}, {_BENCH}, un AS (SELECT count(*) FILTER ((seed, seed_kind) NOT IN (SELECT (seed, seed_kind) FROM routes)) / count(*) AS value FROM ca),
+bo AS (SELECT * FROM (VALUES {", ".join(f"('{t}', '{m}', '{c}', {b}::DOUBLE)" for t, m, c, b in BOUNDS)}) x(tool, metric, comparator, bound)), me AS (SELECT * FROM ts UNION ALL SELECT 'route_trace', 'unsupported_case_rate', value FROM un)
+SELECT tool, metric, comparator, round(value, 6)::DOUBLE AS actual, bound, coalesce(CASE comparator WHEN '>=' THEN value >= bound ELSE value <= bound END, false) AS passed FROM bo LEFT JOIN me USING (tool, metric)""",
+}
