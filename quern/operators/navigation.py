@@ -168,18 +168,32 @@ def route_targets(starts: DataFrame, files: DataFrame, refs: DataFrame, symbols:
 
 
 # --- paths -------------------------------------------------------------------------------
-def _levels(first: DataFrame, steps: DataFrame, depth: int, back: bool = False) -> list[DataFrame]:
-    """``first(root)`` and what it reaches in exactly 1, 2, ... ``depth`` steps, one way for each end.
+def _start_level(roots: DataFrame) -> DataFrame:
+    zero = F.lit(0).cast("long")
+    return roots.select("root", F.col("root").alias("node"), zero.alias("cost"), zero.alias("gain"), F.array("root").alias("nodes"))
 
-    ``nodes`` are in the order of the way, so those of steps taken back end at the root.
+
+def _next_level(levels: list[DataFrame], steps: DataFrame, bounds: DataFrame, back: bool = False) -> DataFrame:
+    """What the last of ``levels`` reaches in one more of ``steps(a, b, step, load)``, one way for each root and end.
+
+    Ends that an earlier level reached as cheaply are left out, for more steps at no less
+    cost are never part of a best way; so is what costs its root's ``bounds(root, bound)``
+    already. ``nodes`` are in the order of the way, so those of steps taken back end at the root.
     """
-    levels = [first.select("root", F.col("root").alias("node"), F.lit(0).cast("long").alias("cost"), F.lit(0).cast("long").alias("gain"), F.array("root").alias("nodes"))]
-    for _ in range(depth):
-        on = levels[-1].join(steps, F.col("node") == F.col("a"))
-        on = on.select("root", F.col("b").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), (F.col("gain") - F.col("load")).alias("gain"), F.concat(*((F.array("b"), "nodes") if back else ("nodes", F.array("b")))).alias("nodes"))
-        best = on.groupBy("root", "node").agg(F.min(F.struct("cost", "gain", "nodes")).alias("best"))
-        levels.append(materialize(best.select("root", "node", "best.*")))
-    return levels
+    on = levels[-1].join(steps, F.col("node") == F.col("a"))
+    nodes = F.concat(*((F.array("b"), "nodes") if back else ("nodes", F.array("b"))))
+    on = on.select("root", F.col("b").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), (F.col("gain") - F.col("load")).alias("gain"), nodes.alias("nodes"))
+    on = on.join(bounds, "root").where("cost < bound").drop("bound")
+    best = on.groupBy("root", "node").agg(F.min(F.struct("cost", "gain", "nodes")).alias("best")).select("root", "node", "best.*")
+    seen = levels[0].select("root", "node", "cost")
+    for level in levels[1:]:
+        seen = seen.unionByName(level.select("root", "node", "cost"))
+    seen = seen.groupBy("root", "node").agg(F.min("cost").alias("known"))
+    return materialize(best.join(seen, ["root", "node"], "left").where("known is null or cost < known").drop("known"))
+
+
+#: More than any way costs.
+_FAR = 1 << 62
 
 
 def best_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
@@ -189,24 +203,32 @@ def best_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS) ->
     the target and meet in the middle, so a graph of degree d costs d to half the hops on
     each side. Every level keeps one way for each root and node: the least cost, then the most
     weight, then the least list of nodes; that order is kept by both halves, so the
-    best whole is made of best halves. Among hops the least cost wins, then the fewest.
+    best whole is made of best halves. Among hops the least cost wins, then the fewest; so
+    what a pair has already bounds all that comes after, for its start, its target and itself.
     """
     cost = F.round(G.step_cost(F.col("kind"), F.col("weight")) * COST_SCALE).cast("long")
     load = F.round(F.col("weight") * COST_SCALE).cast("long")
     steps = edges.where("src <> dst").groupBy("src", "dst").agg(F.min(F.struct(cost.alias("step"), (-load).alias("back"))).alias("s"))
     steps = materialize(steps.select("src", "dst", "s.step", (-F.col("s.back")).alias("load")))
-    pairs = materialize(pairs.select("start", "target").where("start <> target").distinct())
-    ahead = _levels(pairs.select(F.col("start").alias("root")).distinct(), steps.select(F.col("src").alias("a"), F.col("dst").alias("b"), "step", "load"), (max_hops + 1) // 2)
-    back = _levels(pairs.select(F.col("target").alias("root")).distinct(), steps.select(F.col("dst").alias("a"), F.col("src").alias("b"), "step", "load"), max_hops // 2, back=True)
-    found = None
+    way = "struct<cost:bigint,hops:int,gain:bigint,nodes:" + f"array<{pairs.schema['start'].dataType.simpleString()}>>"
+    known = materialize(pairs.select("start", "target").where("start <> target").distinct().withColumn("w", F.lit(None).cast(way)))
+    sides = {
+        "start": ([_start_level(known.select(F.col("start").alias("root")).distinct())], steps.select(F.col("src").alias("a"), F.col("dst").alias("b"), "step", "load")),
+        "target": ([_start_level(known.select(F.col("target").alias("root")).distinct())], steps.select(F.col("dst").alias("a"), F.col("src").alias("b"), "step", "load")),
+    }
+    bound = F.coalesce(F.col("w.cost"), F.lit(_FAR))
     for hops in range(1, max_hops + 1):
-        one = ahead[(hops + 1) // 2].select(F.col("root").alias("start"), "node", F.col("cost").alias("c1"), F.col("gain").alias("g1"), F.col("nodes").alias("n1"))
-        two = back[hops // 2].select(F.col("root").alias("target"), "node", F.col("cost").alias("c2"), F.col("gain").alias("g2"), F.col("nodes").alias("n2"))
-        met = one.join(pairs, "start").join(two, ["target", "node"])
+        side = "start" if hops % 2 else "target"
+        levels, moves = sides[side]
+        levels.append(_next_level(levels, moves, known.groupBy(F.col(side).alias("root")).agg(F.max(bound).alias("bound")), side == "target"))
+        one = sides["start"][0][(hops + 1) // 2].select(F.col("root").alias("start"), "node", F.col("cost").alias("c1"), F.col("gain").alias("g1"), F.col("nodes").alias("n1"))
+        two = sides["target"][0][hops // 2].select(F.col("root").alias("target"), "node", F.col("cost").alias("c2"), F.col("gain").alias("g2"), F.col("nodes").alias("n2"))
+        met = one.join(known.select("start", "target", bound.alias("bound")), "start").where("c1 < bound").join(two, ["target", "node"]).where("c1 + c2 < bound")
         nodes = F.concat("n1", F.slice("n2", 2, max_hops))
-        met = met.select("start", "target", (F.col("c1") + F.col("c2")).alias("cost"), F.lit(hops).alias("hops"), (F.col("g1") + F.col("g2")).alias("gain"), nodes.alias("nodes"))
-        found = met if found is None else found.unionByName(met)
-    best = found.groupBy("start", "target").agg(F.min(F.struct("cost", "hops", "gain", "nodes")).alias("w"))
+        new = F.struct((F.col("c1") + F.col("c2")).alias("cost"), F.lit(hops).alias("hops"), (F.col("g1") + F.col("g2")).alias("gain"), nodes.alias("nodes"))
+        met = met.groupBy("start", "target").agg(F.min(new).alias("new"))
+        known = materialize(known.join(met, ["start", "target"], "left").select("start", "target", F.coalesce("new", "w").alias("w")))
+    best = known.where("w is not null")
     return best.select("start", "target", "w.nodes", (F.col("w.cost") / COST_SCALE).alias("cost"), (-F.col("w.gain") / COST_SCALE).alias("weight"), "w.hops")
 
 

@@ -10,6 +10,7 @@ from quern.operators import evaluation as E
 from quern.operators import fusion as X
 from quern.operators import lexical as L
 from quern.operators import vectors as V
+from quern.plans import q_routes as R
 from quern.plans import search as S
 from quern.plans.q_lexical import _BM, _POST, _Q, TERMS
 from quern.sources import adapters as A
@@ -62,6 +63,14 @@ def hybrid_search(spark, d):
     return S.hybrid_search(spark, d, "open license terms", K)
 
 
+def index_tables(spark, d):
+    """The index that the searches below read: built where it is not yet, and counted."""
+    from quern.sources.sinks import table_counts
+
+    i = S.documents_index(spark, d)
+    return table_counts({"files": i.files, "postings": i.postings, "symbols": i.symbols, "refs": i.refs, "deps": i.deps, "edges": i.edges, "vectors": i.vectors})
+
+
 def indexed_search(spark, d):
     """A question that asks for services and tests, over the written tables of an index."""
     return S.indexed_search(spark, d, "service tests for license terms", K)
@@ -120,10 +129,13 @@ gra AS (SELECT path, score, row_number() OVER (ORDER BY score DESC, path) AS r F
 _CL = "greatest({1}, least({2}, {0}))"
 
 QUERIES = {f.__name__: f for f in (
-    rrf_fusion, anchor_retention, budget_pack, role_prior, confidence, hybrid_search, indexed_search, agent_search, recall_mrr_ndcg, latency_percentiles, gate_eval, rollout_bucket, chunk_lexical,
+    rrf_fusion, anchor_retention, budget_pack, role_prior, confidence, hybrid_search, index_tables, indexed_search, agent_search, recall_mrr_ndcg, latency_percentiles, gate_eval, rollout_bucket, chunk_lexical,
 )}
 
 ORACLES = {
+    "index_tables": f"""WITH {A.APP}, {R._EDGES} SELECT 'files' AS table_name, count(*) AS n_rows FROM files UNION ALL SELECT 'vectors', count(*) FROM files UNION ALL SELECT 'symbols', count(*) FROM symbols
+UNION ALL SELECT 'refs', count(*) FROM refs UNION ALL SELECT 'deps', count(*) FROM deps UNION ALL SELECT 'edges', count(*) FROM ed
+UNION ALL SELECT 'postings', count(*) FROM (SELECT DISTINCT path, unnest(list_filter(regexp_split_to_array(lower(path || ' ' || text), '[^\p{{L}}\p{{N}}_]+'), lambda t: length(t) >= 2)) AS term FROM files)""",
     "rrf_fusion": f"""WITH {A.FILES}, {_POST}, {_Q}, {_BM}, {_TOP}, f AS (SELECT coalesce(l.path, g.path) AS path, l.r AS lr, g.r AS gr,
   coalesce(0.40 / (60.0 + l.r), 0) + coalesce(0.14 / (60.0 + g.r), 0) AS rrf, coalesce(l.score, 0) AS ls FROM lex l FULL JOIN gra g ON l.path = g.path),
 s AS (SELECT *, rrf + 0.012 * ls AS score FROM f), t AS (SELECT *, row_number() OVER (ORDER BY score DESC, path) AS k FROM s)

@@ -14,7 +14,9 @@ from quern.operators import clones as K
 from quern.operators import graph as G
 from quern.operators import incremental as I
 from quern.operators import json_values as J
+from quern.plans.shared import once
 from quern.sources import adapters as A
+from quern.sources.sinks import materialize
 from quern.sources.sinks import table_counts as count_tables
 
 
@@ -27,12 +29,16 @@ def shingle_index(spark, d):
     return s.groupBy("path").agg(F.count("*").alias("windows"), F.min("start").alias("first"), F.max("n").alias("largest"))
 
 
+def _runs(spark, d):
+    return once(spark, d, "prose runs", lambda: materialize(K.exact_runs(_tokens(spark, d))))
+
+
 def exact_clones(spark, d):
-    return K.exact_runs(_tokens(spark, d))
+    return _runs(spark, d)
 
 
 def nested_collapse(spark, d):
-    r = K.exact_runs(_tokens(spark, d))
+    r = _runs(spark, d)
     c = r.select(F.concat_ws("|", "f1", "f2", F.col("diagonal").cast("string"), F.col("start1").cast("string")).alias("class_id"), F.col("n_tokens").alias("tokens"), "f1", "start1")
     c = c.select("class_id", "tokens", F.col("f1").alias("path"), F.col("start1").alias("start"), (F.col("start1") + F.col("tokens") - 1).alias("end"))
     return K.nested_collapse(c)
@@ -40,12 +46,12 @@ def nested_collapse(spark, d):
 
 def clone_file_facts(spark, d):
     t = _tokens(spark, d)
-    return K.file_facts(K.exact_runs(t), t.select("path", F.size("words").alias("n")))
+    return K.file_facts(_runs(spark, d), t.select("path", F.size("words").alias("n")))
 
 
 def clone_classes(spark, d):
     t = _tokens(spark, d)
-    c = K.clone_classes(K.exact_runs(t), t)
+    c = K.clone_classes(_runs(spark, d), t)
     return c.groupBy("class_id").agg(F.max("tokens").alias("tokens"), F.count("*").alias("places"), F.countDistinct("path").alias("files"), F.min("path").alias("first")).drop("class_id")
 
 

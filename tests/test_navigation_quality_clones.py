@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quern.operators import benchmarks, contracts
 from quern.operators import clones as K
 from quern.operators import duplication as D
 from quern.operators import facts as X
@@ -289,3 +290,75 @@ def test_roles_of_paths(spark):
     cases = [("src/domain/origin_model.rs", "unknown", "model"), ("web/ui/use_origin.ts", "ui", "ui"), ("src/client/origin_client.ts", "api_client", "api_client"), ("src/routes/origin.rs", "endpoint", "endpoint"), ("src/queries/origin_query.sql", "query", "query")]
     df = spark.createDataFrame(cases, "p string, a string, b string")
     assert [tuple(r) for r in df.select(I.route_segment(F.col("p")), I.source_kind(F.col("p"))).collect()] == [c[1:] for c in cases]
+
+
+# --- ladders and benchmarks ---------------------------------------------------------------
+def signals(spark, constraints, tests=(), kinds=(("crud", "crud"), ("query", "query"))):
+    """Signals of one seed with two variants, each an entry and one more segment."""
+    variants = spark.createDataFrame([("s", "query", 1, "a.py", 0.5), ("s", "query", 2, "b.py", 0.5)], "seed string, seed_kind string, variant int, path string, confidence double")
+    rows = [("s", "query", v, 0, p, "unknown", "unknown", 0.5) for v, p in ((1, "a.py"), (2, "b.py"))] + [("s", "query", v, 1, f"next{v}.py", *k, 0.5) for v, k in ((1, kinds[0]), (2, kinds[1]))]
+    segments = spark.createDataFrame(rows, "seed string, seed_kind string, variant int, pos int, path string, kind string, source_kind string, score double")
+    c = spark.createDataFrame(list(constraints), "path string, kind string, source string, strength string, text string")
+    t = spark.createDataFrame(list(tests), "path string, test string")
+    out = contracts.divergence_signals(variants, contracts.axis_values(variants, segments, c, t))
+    return {r.axis: (r.state, r.severity, r.evidence_strength, r.reason) for r in out.collect()}, contracts.divergence_summary(out).head()
+
+
+def test_divergence_ladder(spark):
+    strong = lambda p, x: (p, "model_constraint", "model_declaration", "strong", x)
+    got, whole = signals(spark, [strong("a.py", "unique x"), strong("b.py", "unique y")])
+    assert got["constraint_evidence"] == ("divergence", "high_risk", "hard", "conflicting_hard_constraints")
+    assert got["db_entities_and_queries"][3] == "db_query_without_test_backing" and got["entrypoints"][3] == "entrypoint_only" and got["test_coverage"] == ("missing", None, None, None)
+    assert (whole.overall_severity, whole.manual_review) == ("high_risk", False)
+    both = [strong("a.py", "unique x"), strong("b.py", "unique x")]
+    tests = [("a.py", "t/a"), ("b.py", "t/b")]
+    got, whole = signals(spark, both, tests, (("service", "service"), ("service", "service")))
+    assert got["constraint_evidence"][0] == "consensus" and got["downstream_symbols"][1:] == ("likely_expected", "corroborated_proxy", "shared_backing_downstream_variation")
+    assert got["test_coverage"][1:] == ("likely_expected", "proxy_only", "test_only") and not whole.manual_review
+    guards = [("a.py", "runtime_guard", "runtime_guard_code", "weak", "if x"), ("b.py", "runtime_guard", "runtime_guard_code", "weak", "if y")]
+    got, whole = signals(spark, guards, (), (("service", "service"), ("service", "service")))
+    assert {got[a][3] for a in ("guards_and_validators", "predicate_signatures", "constraint_evidence")} == {"multi_axis_proxy_corroboration"} and whole.overall_severity == "suspicious"
+    got, whole = signals(spark, [], (), (("service", "service"), ("service", "service")))
+    assert got["downstream_symbols"][3] == "single_axis_proxy_only" and (whole.overall_severity, whole.manual_review) == ("likely_expected", True)
+
+
+def test_affinity_and_roles(spark):
+    cases = [("a/b/c.py", "a/b/d.py", 1.0), ("a/b/c.py", "a/x/d.py", 0.5), ("a/b/c.py", "x/b/d.py", 0.0), (None, "a/b.py", 0.0), ("a.py", "b.py", 0.0), ("A\\b\\c.py", "a/b/d/e.py", 1.0)]
+    df = spark.createDataFrame(cases, "s string, p string, w double")
+    assert all(r.g == r.w for r in df.select(contracts.path_affinity(F.col("s"), F.col("p")).alias("g"), "w").collect())
+    roles = [("service", "service", "a/adapter.py", "adapter"), ("service", "validator", "x", "validator"), ("api_client", "", "x", "generated_client"), ("ui", "", "x", "consumer"), ("unknown", "", "my_adapter", "adapter"), ("unknown", "", "x", "unknown"), ("migration", "", "x", "schema_or_model")]
+    df = spark.createDataFrame(roles, "k string, s string, p string, w string")
+    assert all(r.g == r.w for r in df.select(contracts.contract_role(F.col("k"), F.col("s"), F.col("p")).alias("g"), "w").collect())
+
+
+def test_contract_breaks(spark):
+    seeds = spark.createDataFrame([("1", "query"), ("2", "query"), ("3", "query")], "seed string, seed_kind string")
+    chain = [("1", "query", 8, "consumer", "ui/x", 1.0, False), ("2", "query", 4, "service", "s/x", 1.0, False), ("2", "query", 9, "test", "t/x", 1.0, False), ("2", "query", 7, "generated_client", "g/x", 1.0, True)]
+    df = spark.createDataFrame(chain, "seed string, seed_kind string, step int, role string, path string, rank_score double, orphaned boolean")
+    got = {(r.seed, r.reason, r.last_path) for r in contracts.contract_breaks(seeds, df).collect()}
+    assert got == {
+        ("1", "chain_ended_before_backend_contract_root", "ui/x"), ("1", "related_tests_not_found", "ui/x"), ("2", "schema_or_model_backing_not_found", "t/x"),
+        ("2", "generated_target_without_source_of_truth", "g/x"), ("3", "related_tests_not_found", None),
+    }
+
+
+def test_bounds_and_costs(spark):
+    m = spark.createDataFrame([("t", "recall", 0.8), ("t", "p95", 12.0)], "tool string, metric string, value double")
+    b = spark.createDataFrame([("t", "recall", ">=", 0.8), ("t", "p95", "<=", 11.0), ("t", "gone", "<=", 1.0)], "tool string, metric string, comparator string, bound double")
+    assert {r.metric: r.passed for r in benchmarks.threshold_gate(m, b).collect()} == {"recall": True, "p95": False, "gone": False}
+    side = lambda tokens, recall: spark.createDataFrame([("t", "tokens", tokens), ("t", "recall", recall), ("t", "mrr", 0.5), ("t", "ndcg", 0.5)], "tool string, metric string, value double")
+    ok = lambda a, b: benchmarks.cost_gate(a, b).head().passed
+    assert ok(side(10.0, 0.5), side(9.0, 0.1)) and not ok(side(10.0, 0.5), side(11.0, 0.5)) and ok(side(10.0, 0.5), side(11.0, 0.6))
+    runs = spark.createDataFrame([(k, "t", "p95", float(v)) for k, v in enumerate((5, 1, 9, 3))], "run int, tool string, metric string, value double")
+    assert benchmarks.median_of_runs(runs).head().value == 4.0
+
+
+def test_case_counts(spark):
+    cases = spark.createDataFrame([("c1", "t"), ("c2", "t")], "case_id string, tool string")
+    expected = spark.createDataFrame([("c1", "entry", "a", None), ("c1", "entry", "b", None), ("c1", "segment", "a", "service")], "case_id string, what string, key string, kind string")
+    returned = spark.createDataFrame([("c1", "entry", 2, "a", None), ("c1", "entry", 4, "b", None), ("c1", "segment", 1, "a", "crud"), ("c2", "signal", 1, "z", None)], "case_id string, what string, rank int, key string, kind string")
+    counts = benchmarks.case_counts(cases, expected, returned)
+    got = {(r.case_id, r.what): tuple(r)[3:] for r in counts.collect()}
+    assert got == {("c1", "entry"): (2, 2, 2, 2, 1, False, True), ("c1", "segment"): (1, 1, 1, 0, 1, True, True), ("c2", "signal"): (0, 1, 0, 0, 0, False, False)}
+    rates = {r.metric: r.value for r in benchmarks.tool_metrics(counts).collect()}
+    assert rates["entry_recall_at_3"] == 0.5 and rates["entry_success_at_1"] == 0.0 and rates["entry_success_at_3"] == 1.0 and rates["segment_type_precision"] == 0.0 and rates["signal_false_rate"] == 1.0

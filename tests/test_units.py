@@ -135,13 +135,6 @@ def test_code_tokens():
     assert out[:4] == ["let", "$id", "=", "$lifetime"] and "$attr" in out and "+=" in out and "$num" in out and "$lit" in out
 
 
-def test_near_match():
-    a = [str(k) for k in range(100)]
-    b = a[:50] + ["new", "two"] + a[50:]
-    assert clones.near_match(a, b, 0, 0)[0] == 100
-    assert clones.near_match(a, ["z"] * 100, 0, 0)[0] == 0
-
-
 def test_security_smells(spark):
     text = "import subprocess\nsubprocess.run(c, shell=True)\nq = f\"select * from {t}\"\npickle.loads(b)\nopen(user_input)\n"
     df = spark.createDataFrame([("a/x.py", "python", text), ("a/x.md", "markdown", text)], "path string, language string, text string")
