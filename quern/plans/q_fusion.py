@@ -133,7 +133,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 ORACLES = {
-    "index_tables": f"""WITH {A.APP}, {R._EDGES} SELECT 'files' AS table_name, count(*) AS n_rows FROM files UNION ALL SELECT 'vectors', count(*) FROM files UNION ALL SELECT 'symbols', count(*) FROM symbols
+    "index_tables": rf"""WITH {A.APP}, {R._EDGES} SELECT 'files' AS table_name, count(*) AS n_rows FROM files UNION ALL SELECT 'vectors', count(*) FROM files UNION ALL SELECT 'symbols', count(*) FROM symbols
 UNION ALL SELECT 'refs', count(*) FROM refs UNION ALL SELECT 'deps', count(*) FROM deps UNION ALL SELECT 'edges', count(*) FROM ed
 UNION ALL SELECT 'postings', count(*) FROM (SELECT DISTINCT path, unnest(list_filter(regexp_split_to_array(lower(path || ' ' || text), '[^\p{{L}}\p{{N}}_]+'), lambda t: length(t) >= 2)) AS term FROM files)""",
     "rrf_fusion": f"""WITH {A.FILES}, {_POST}, {_Q}, {_BM}, {_TOP}, f AS (SELECT coalesce(l.path, g.path) AS path, l.r AS lr, g.r AS gr,
