@@ -204,30 +204,34 @@ def best_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS) ->
     each side. Every level keeps one way for each root and node: the least cost, then the most
     weight, then the least list of nodes; that order is kept by both halves, so the
     best whole is made of best halves. Among hops the least cost wins, then the fewest; so
-    what a pair has already bounds all that comes after, for its start, its target and itself.
+    what a pair has already bounds all that comes after, for its start, its target and itself,
+    and a pair one of whose ends reaches nothing new asks for no more steps of the other.
     """
     cost = F.round(G.step_cost(F.col("kind"), F.col("weight")) * COST_SCALE).cast("long")
     load = F.round(F.col("weight") * COST_SCALE).cast("long")
     steps = edges.where("src <> dst").groupBy("src", "dst").agg(F.min(F.struct(cost.alias("step"), (-load).alias("back"))).alias("s"))
     steps = materialize(steps.select("src", "dst", "s.step", (-F.col("s.back")).alias("load")))
     way = "struct<cost:bigint,hops:int,gain:bigint,nodes:" + f"array<{pairs.schema['start'].dataType.simpleString()}>>"
-    known = materialize(pairs.select("start", "target").where("start <> target").distinct().withColumn("w", F.lit(None).cast(way)))
+    known = materialize(pairs.select("start", "target").where("start <> target").distinct().select("start", "target", F.lit(None).cast(way).alias("w"), F.lit(True).alias("alive")))
     sides = {
         "start": ([_start_level(known.select(F.col("start").alias("root")).distinct())], steps.select(F.col("src").alias("a"), F.col("dst").alias("b"), "step", "load")),
         "target": ([_start_level(known.select(F.col("target").alias("root")).distinct())], steps.select(F.col("dst").alias("a"), F.col("src").alias("b"), "step", "load")),
     }
-    bound = F.coalesce(F.col("w.cost"), F.lit(_FAR))
+    bound = F.when(F.col("alive"), F.coalesce(F.col("w.cost"), F.lit(_FAR))).otherwise(F.lit(-1))
     for hops in range(1, max_hops + 1):
         side = "start" if hops % 2 else "target"
         levels, moves = sides[side]
         levels.append(_next_level(levels, moves, known.groupBy(F.col(side).alias("root")).agg(F.max(bound).alias("bound")), side == "target"))
+        # Who reaches nothing new on this side has no longer way either.
+        reached = levels[-1].select(F.col("root").alias(side), F.lit(True).alias("reached")).distinct()
+        known = known.join(reached, side, "left").select("start", "target", "w", (F.col("alive") & F.col("reached").isNotNull()).alias("alive"))
         one = sides["start"][0][(hops + 1) // 2].select(F.col("root").alias("start"), "node", F.col("cost").alias("c1"), F.col("gain").alias("g1"), F.col("nodes").alias("n1"))
         two = sides["target"][0][hops // 2].select(F.col("root").alias("target"), "node", F.col("cost").alias("c2"), F.col("gain").alias("g2"), F.col("nodes").alias("n2"))
         met = one.join(known.select("start", "target", bound.alias("bound")), "start").where("c1 < bound").join(two, ["target", "node"]).where("c1 + c2 < bound")
         nodes = F.concat("n1", F.slice("n2", 2, max_hops))
         new = F.struct((F.col("c1") + F.col("c2")).alias("cost"), F.lit(hops).alias("hops"), (F.col("g1") + F.col("g2")).alias("gain"), nodes.alias("nodes"))
         met = met.groupBy("start", "target").agg(F.min(new).alias("new"))
-        known = materialize(known.join(met, ["start", "target"], "left").select("start", "target", F.coalesce("new", "w").alias("w")))
+        known = materialize(known.join(met, ["start", "target"], "left").select("start", "target", F.coalesce("new", "w").alias("w"), "alive"))
     best = known.where("w is not null")
     return best.select("start", "target", "w.nodes", (F.col("w.cost") / COST_SCALE).alias("cost"), (-F.col("w.gain") / COST_SCALE).alias("weight"), "w.hops")
 
