@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.operators.neighbours import neighbour_counts
+
 # --- fixed values: rules with their metric, default threshold, severity and category ----
 RULES = (
     ("max_size_bytes", "size_bytes", 262_144, "medium", "maintainability"),
@@ -172,8 +174,8 @@ def hotspots(risks: DataFrame, violations: DataFrame, bucket: Column) -> DataFra
 def git_risk(log: DataFrame) -> DataFrame:
     """Change-history facts of every path from ``log(path, commit, author, churn)``.
 
-    Co-change neighbours pair the paths of a commit; both sides are distinct per commit,
-    and adaptive execution splits commits that touch very many paths.
+    Co-change neighbours are the other paths of a path's commits, each counted once, by
+    pairs of blocks of paths (:func:`quern.operators.neighbours.neighbour_counts`).
     """
     by = log.groupBy("path").agg(
         F.countDistinct("commit").alias("git_recent_commit_count"),
@@ -181,9 +183,7 @@ def git_risk(log: DataFrame) -> DataFrame:
         F.sum("churn").alias("git_recent_churn_lines"),
     )
     touches = log.groupBy("path", "author").agg(F.count("*").alias("n")).groupBy("path").agg(F.max("n").alias("most"))
-    pairs = log.select("commit", "path").distinct()
-    other = pairs.withColumnRenamed("path", "other")
-    near = pairs.join(other, "commit").where("path <> other").groupBy("path").agg(F.countDistinct("other").alias("git_cochange_neighbor_count"))
+    near = neighbour_counts(log, "path", "commit").withColumnRenamed("neighbours", "git_cochange_neighbor_count")
     commits = F.col("git_recent_commit_count")
     share = F.when(commits >= MIN_COMMITS, F.floor(F.col("most") * 10_000 / commits)).otherwise(0).cast("long")
     out = by.join(touches, "path").join(near, "path", "left").na.fill(0, ["git_cochange_neighbor_count"])
