@@ -48,7 +48,7 @@ def _facts(spark, d):
 def _make_facts(spark, d):
     tree, refs, symbols, deps = R._tree(spark, d)
     code = materialize(A.app_code(tree).drop("sample"))
-    edges = R._edges(spark, d)
+    edges = R._direct(spark, d)
     direct = edges.where(F.col("kind").isin(*G.DIRECT_KINDS)).select("src", "dst").distinct()
     fans = materialize(G.fan_in_out(edges))
     pairs = lambda rows: spark.createDataFrame(list(rows), "src_zone string, dst_zone string")

@@ -28,3 +28,37 @@ def test_git_risk_of_a_wide_commit(spark):
     log = spark.range(60_000).select(F.col("id").alias("path"), F.explode(F.array(F.lit(1), F.lit(2))).alias("commit"), F.lit("a").alias("author"), F.lit(1).alias("churn"))
     out = Q.git_risk(log).groupBy("git_cochange_neighbor_count").count().collect()
     assert [(r[0], r[1]) for r in out] == [(59_999, 60_000)]
+
+
+def test_shared_dep_by_totals_and_at_nodes(spark):
+    """What is counted or formed at a few files equals the edges of all pairs."""
+    from quern.operators import graph as G
+
+    rng = random.Random(7)
+    deps = spark.createDataFrame(list({(f"f{rng.randrange(80)}", f"d{min(rng.randrange(60), rng.randrange(60))}") for _ in range(400)}), "path string, dep string").cache()
+    direct = spark.createDataFrame([(f"f{i}", f"f{(i * 7) % 80}", "ref_exact", 1, 1.0) for i in range(1, 80) if i * 7 % 80 != i], "src string, dst string, kind string, raw_count long, weight double")
+    edges = G.edges_shared_dep(deps)
+    want = edges.groupBy("src", "kind").agg(F.count("*").alias("edges"), F.sum("raw_count").alias("raw_count"), F.round(F.sum("weight"), 6).alias("weight"))
+    got = G.shared_dep_totals(deps).withColumn("weight", F.round("weight", 6))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    seeds = spark.createDataFrame([("f1", 2.0), ("f2", 1.0), ("f3", 0.5)], "path string, score double")
+    everything = direct.unionByName(edges)
+    rows = lambda df: sorted((r.path, round(r.graph_score, 9), r.seed, r.hops, tuple(r.kinds)) for r in df.collect())
+    assert rows(G.two_hop(direct, seeds, deps, G.degrees(everything))) == rows(G.two_hop(everything, seeds))
+
+
+def test_facts_form_no_pairs_of_a_dependency(spark):
+    """The facts of rules and the index ask for no table of shared dependencies."""
+    from quern.operators import graph as G
+    from quern.plans import q_code, q_fusion, q_routes
+
+    def never(deps):
+        raise AssertionError("pairs of files formed")
+
+    was, G.edges_shared_dep = G.edges_shared_dep, never
+    try:
+        d = "/root/testdata/sf0.001/."
+        for query in (q_code.rule_facts, q_fusion.index_tables, q_fusion.indexed_search, q_routes.ambiguous_edges):
+            assert query(spark, d).count() > 0
+    finally:
+        G.edges_shared_dep = was
