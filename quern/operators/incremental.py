@@ -85,13 +85,48 @@ def cached_vectors(chunks: DataFrame, cache: DataFrame, model: str, dim: int) ->
     return j.withColumn("cache_state", state).withColumn("vector", F.when(F.col("cache_state") == "hit", F.col("vector")))
 
 
-def digest_parts(line: Column) -> tuple[Column, Column]:
-    """Two sums of 60-bit hashes of the lines of a group: a digest that does not depend on their order.
+def sorted_digest(rows: DataFrame, key: str, item: str, between: str) -> DataFrame:
+    """``(key, n_rows, fingerprint)``: SHA-256 of a key's items in order, joined by ``between``.
 
-    Sums combine before the shuffle, so a key with very many rows sends a row from each task.
+    A key's rows lie in one task, sorted, and go through the hash as a stream, so none is gathered, however many it has.
     """
-    part = lambda at: F.sum(F.conv(F.substring(F.md5(line.cast("binary")), at, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)")
-    return part(1), part(16)
+    rows = rows.select(F.col(key), F.col(item).alias("item")).repartition(key).sortWithinPartitions(key, "item")
+    kind = rows.schema[key].dataType.simpleString()
+
+    def digests(batches):
+        import hashlib
+        from itertools import groupby
+
+        import pyarrow as pa
+
+        now, h, n, done = None, None, 0, []
+
+        def flush():
+            nonlocal done
+            out = pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], of), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.string())], [key, "n_rows", "fingerprint"])
+            done = []
+            return out
+
+        of = None
+        for batch in batches:
+            of = batch.schema.field(0).type
+            for k, run in groupby(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), key=lambda r: r[0]):
+                items = [r[1] for r in run]
+                if h is not None and k == now:
+                    h.update((between + between.join(items)).encode())
+                    n += len(items)
+                    continue
+                if h is not None:
+                    done.append((now, n, h.hexdigest()))
+                now, h, n = k, hashlib.sha256(between.join(items).encode()), len(items)
+            if len(done) >= 10_000:
+                yield flush()
+        if h is not None:
+            done.append((now, n, h.hexdigest()))
+        if done:
+            yield flush()
+
+    return rows.mapInArrow(digests, f"`{key}` {kind}, n_rows long, fingerprint string")
 
 
 def _line(columns: tuple[str, ...]) -> Column:
@@ -100,9 +135,7 @@ def _line(columns: tuple[str, ...]) -> Column:
 
 def fingerprint(rows: DataFrame, key: str, *columns: str) -> DataFrame:
     """``(key, n_rows, fingerprint)``: a digest of a key's rows that does not depend on their order."""
-    a, b = digest_parts(_line(columns))
-    g = rows.groupBy(key).agg(F.count("*").alias("n_rows"), a.alias("a"), b.alias("b"))
-    return g.select(key, "n_rows", F.concat_ws(":", F.col("a").cast("string"), F.col("b").cast("string")).alias("fingerprint"))
+    return sorted_digest(rows.select(key, F.sha2(_line(columns), 256).alias("e")), key, "e", "")
 
 
 def verify_artifacts(stored: DataFrame, actual: DataFrame, key: str = "path") -> DataFrame:
