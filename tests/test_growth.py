@@ -62,3 +62,42 @@ def test_facts_form_no_pairs_of_a_dependency(spark):
             assert query(spark, d).count() > 0
     finally:
         G.edges_shared_dep = was
+
+
+def test_neighbour_counts_marked_and_sorted(spark, monkeypatch):
+    """Both ways of counting two blocks agree."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quern.operators import neighbours as N
+
+    rng = np.random.default_rng(3)
+    rows = [(rng.choice(300, rng.integers(2, 60), False).tolist(), rng.choice(500, rng.integers(2, 60), False).tolist()) for _ in range(200)]
+    for j in (0, 1):
+        t = pa.table({"i": [0] * 200, "j": [j] * 200, "left": [sorted(a) for a, _ in rows], "right": [sorted(a if j == 0 else b) for a, b in rows]})
+        sets: dict = {}
+        for a, b in zip(t["left"].to_pylist(), t["right"].to_pylist()):
+            for x in a:
+                sets.setdefault((0, x), set()).update((j, y) for y in b if (j, y) != (0, x))
+                if j:
+                    for y in b:
+                        sets.setdefault((j, y), set()).add((0, x))
+        want = sorted((*k, len(v)) for k, v in sets.items() if v)
+        for sparse in (0, N.SPARSE):
+            monkeypatch.setattr(N, "SPARSE", sparse)
+            assert sorted(map(tuple, (r.values() for r in N._count(t).to_pylist()))) == want
+        monkeypatch.undo()
+
+
+def test_digests_are_sha256_of_sorted_items(spark):
+    """Whole digests, also of a key whose rows span several Arrow batches."""
+    import hashlib
+
+    from quern.operators import incremental as I
+
+    rows = spark.range(25_000).select(F.when(F.col("id") < 24_000, 1).otherwise(F.col("id") % 7 + 2).alias("k"), F.col("id").cast("string").alias("x"))
+    want: dict = {}
+    for r in rows.collect():
+        want.setdefault(r.k, []).append(hashlib.sha256(r.x.encode()).hexdigest())
+    got = {r.k: (r.n_rows, r.fingerprint) for r in I.fingerprint(rows, "k", "x").collect()}
+    assert got == {k: (len(v), hashlib.sha256("".join(sorted(v)).encode()).hexdigest()) for k, v in want.items()}
