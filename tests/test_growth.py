@@ -101,3 +101,32 @@ def test_digests_are_sha256_of_sorted_items(spark):
         want.setdefault(r.k, []).append(hashlib.sha256(r.x.encode()).hexdigest())
     got = {r.k: (r.n_rows, r.fingerprint) for r in I.fingerprint(rows, "k", "x").collect()}
     assert got == {k: (len(v), hashlib.sha256("".join(sorted(v)).encode()).hexdigest()) for k, v in want.items()}
+
+
+def test_token_estimate_counts_each_text_once(spark):
+    """Presets share the passes over a text, and the counts are those of the plain classes."""
+    import math
+    import re
+
+    from quern.functions import text as T
+
+    texts = ["", "a", "_", "a_b c!", "\t\n\r\x0b\x0c x", "\x00\x08\x0e\x1f\x7f", "[\\]^_`{|}~", "é ñ\u0085漢字　𝒳!\n\n", "x" * 50 + "\n" + "#" * 9, None] + ["".join(map(chr, range(a, a + 16))) for a in range(0, 0x180, 16)]
+
+    def plain(t, preset):
+        if t is None:
+            return 1
+        n = lambda klass: len(re.sub(f"[^{klass}]", "", t))
+        a, o, p, f = T.TOKEN_PRESETS[preset]
+        punct = n(r"!-/:-@\[-^`{-~")
+        other = len(re.sub(r"[\x00-\x7F" + OTHER + "]", "", t))
+        total = n("A-Za-z0-9_") / a + (punct + n(r"\x00-\x08\x0E-\x1F\x7F")) * T.SYMBOL_WEIGHT + other / o + punct * p + n(r"\n") * f
+        return 0 if not t else max(1, math.ceil(round(total, 6)))
+
+    import inspect
+
+    OTHER = re.search(r'ASCII\}\+", r"\[(.*?)\]\+"', inspect.getsource(T.token_estimate)).group(1)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", *[T.token_estimate(F.col("text"), p).alias(p) for p in T.TOKEN_PRESETS])
+    for r in df.collect():
+        assert tuple(r)[1:] == tuple(plain(texts[r.i], p) for p in T.TOKEN_PRESETS), repr(texts[r.i])
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" not in plan  # a branch would keep presets from sharing their passes
