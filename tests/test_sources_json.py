@@ -192,3 +192,13 @@ def test_bodies_fall_back(spark):
     assert (got["b.sql"].how, got["b.sql"].start_line, got["b.sql"].end_line) == ("nearest_indexed_lines", 8, 16)
     assert (got["c.py"].how, got["c.py"].body) == ("chunk_excerpt_anchor", "first")
     assert got["e.rs"].truncated and len(got["e.rs"].body) == 2000
+
+
+def test_bodies_beyond_blank_lines():
+    """Blank lines around an anchor, or a blank head, hide no text that a file has (as the SQL of body_ways counts)."""
+    from quern.operators.source_text import body_of
+
+    far = "\n" * 12 + "    a = b\n" + "\n" * 12
+    assert body_of(far, "python", 3, (1, 25, far)) == ("nearest_indexed_lines", 11, 21, "a = b", "\n\n    a = b", False)
+    assert body_of(far, "python", None, (1, 11, "\n" * 10)) == ("chunk_excerpt_anchor", 13, 24, "a = b", "    a = b", False)
+    assert body_of("\n \n", "python", 3, None) is None and body_of("\n \n", "python", None, (1, 2, " ")) is None
