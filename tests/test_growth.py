@@ -130,3 +130,12 @@ def test_token_estimate_counts_each_text_once(spark):
         assert tuple(r)[1:] == tuple(plain(texts[r.i], p) for p in T.TOKEN_PRESETS), repr(texts[r.i])
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "CASE WHEN" not in plan  # a branch would keep presets from sharing their passes
+
+
+def test_code_lines_cut_words_once(spark):
+    """The words of a line are cut once, not for each variable of each template."""
+    from quern.sources import adapters
+
+    code = adapters.app_code(spark.createDataFrame([("python", "Ab cd ef\nx" + "y" * 47)], "language string, text string"))
+    assert code._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 4
+    assert code.first().text == "    # ab cd ef\nimport x" + "y" * 47 + ".x"
