@@ -139,3 +139,20 @@ def test_code_lines_cut_words_once(spark):
     code = adapters.app_code(spark.createDataFrame([("python", "Ab cd ef\nx" + "y" * 47)], "language string, text string"))
     assert code._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 4
     assert code.first().text == "    # ab cd ef\nimport x" + "y" * 47 + ".x"
+
+
+def test_vectors_by_tiles(spark, monkeypatch):
+    """Tiles of scores give the same first ones as all scores at once, equal scores among them."""
+    from quern.operators import vectors as V
+
+    monkeypatch.setattr(V, "TILE_QUERIES", 3)
+    monkeypatch.setattr(V, "TILE_VECTORS", 7)
+    rng = random.Random(3)
+    rows = [(i, [float(rng.randrange(-1, 2)) for _ in range(4)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = {}
+    for r in V.exact_topk(df, df.where("vec_id % 9 = 0").withColumnRenamed("vec_id", "query_id"), 5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in range(0, 90, 9):
+        best = sorted((-max(0.0, sum(a * b for a, b in zip(rows[q][1], v))), i) for i, v in rows)[:5]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
