@@ -18,6 +18,8 @@ from quern.sources.sinks import materialize
 EXACT_SCORE, PARTIAL_SCORE = 1.0, 0.8
 SOURCE_RANK = {"symbol_lookup": 0, "search_candidate": 1}
 MAX_HOPS = 6
+#: Characters of a seed by which it meets the names that may hold it.
+KEY_CHARS = 8
 TARGETS_PER_START = 8
 ALTERNATES = 2
 START_PRIORITY = {"endpoint": 6, "ui": 5, "service": 4, "crud": 3, "api_client": 3, "query": 2, "test": 1, "migration": 1}
@@ -41,11 +43,18 @@ CANDIDATE = "seed string, seed_kind string, path string, language string, symbol
 def lookup_symbols(seeds: DataFrame, symbols: DataFrame, limit: int) -> DataFrame:
     """``(seed, path, name, exact)``: for every seed the names equal to or holding it.
 
-    Exact ones first, then short ones. The seeds are a stated set, sent to all tasks; every
-    name is compared with them where it stands.
+    Exact ones first, then short ones. A name meets the seeds that begin like some part of
+    it: both are joined on the first ``KEY_CHARS`` characters of the seed, so that names and seeds are
+    not compared all with all. An empty seed is in every name.
     """
-    want = F.broadcast(seeds.select("seed", F.lower(F.trim("seed")).alias("low")).distinct())  # as many rows as there are seeds
-    hit = symbols.select("path", "name").join(want, F.contains(F.lower("name"), F.col("low"))).distinct()
+    want = seeds.select("seed", F.lower(F.trim("seed")).alias("low")).distinct()
+    want = want.withColumn("size", F.least(F.length("low"), F.lit(KEY_CHARS))).withColumn("key", F.substring("low", 1, KEY_CHARS))
+    sizes = F.array(*[F.lit(r[0]) for r in want.select("size").distinct().orderBy("size").collect()])  # KEY_CHARS + 1 at most
+    names = symbols.select("name").distinct().withColumn("lowered", F.lower("name"))
+    parts = F.flatten(F.transform(sizes.cast("array<int>"), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("lowered") - n + 1)), lambda i: F.substr("lowered", i, n))))
+    parts = names.select("name", "lowered", F.explode(F.array_distinct(parts)).alias("key"))
+    hit = parts.join(want, "key").where(F.contains("lowered", F.col("low"))).select("name", "seed").distinct()
+    hit = symbols.select("path", "name").distinct().join(hit, "name")
     hit = hit.withColumn("exact", F.col("name") == F.trim("seed"))
     return _ranked(hit, ("seed",), limit, F.desc("exact"), F.length("name"), F.col("name"), F.col("path")).select("seed", "path", "name", "exact")
 

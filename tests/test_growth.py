@@ -156,3 +156,16 @@ def test_vectors_by_tiles(spark, monkeypatch):
     for q in range(0, 90, 9):
         best = sorted((-max(0.0, sum(a * b for a, b in zip(rows[q][1], v))), i) for i, v in rows)[:5]
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
+def test_seeds_meet_names_by_key(spark):
+    """Seeds and names are joined on parts of names; every name that holds a seed is found, whatever its length."""
+    from quern.operators import navigation as N
+
+    seeds = ["license", "licensee-of-all", "e", "Él", "", "zz", " Of "]
+    names = ["License", "licensee-of-all-things", "élan", "e", "zebra", "of", "proof"]
+    symbols = spark.createDataFrame([(f"p{i}", n) for i, n in enumerate(names)], "path string, name string")
+    out = N.lookup_symbols(spark.createDataFrame([(s,) for s in seeds], "seed string"), symbols, 100)
+    want = {(s, f"p{i}", n, n == s.strip()) for s in seeds for i, n in enumerate(names) if s.strip().lower() in n.lower()}
+    assert {tuple(r) for r in out.collect()} == want
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
