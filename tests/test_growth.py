@@ -169,3 +169,22 @@ def test_seeds_meet_names_by_key(spark):
     want = {(s, f"p{i}", n, n == s.strip()) for s in seeds for i, n in enumerate(names) if s.strip().lower() in n.lower()}
     assert {tuple(r) for r in out.collect()} == want
     assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_alike_lines_of_a_block_meet_without_its_lead(spark, monkeypatch):
+    """All alike lines under one equal block are linked, whether or not the block's lead is one of them."""
+    from quern.llm import line_dedup as L
+
+    rng = random.Random(9)
+    bases = ["".join(rng.choice("abcdefghij ") for _ in range(40)).strip() for _ in range(8)]
+    texts = [b + tail for b in bases for tail in ("", "x", "xyz")]
+    monkeypatch.setattr(L, "PART_ROWS", 5)
+    monkeypatch.setattr(L._links_within, "__defaults__", (5,))
+    real = L.unit_blocks
+    monkeypatch.setattr(L, "unit_blocks", lambda lines: real(lines).withColumn("blocks", F.array(*[F.lit(7).cast("long")] * L.BLOCKS)))
+    lines = L.normalized_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).cache()
+    own = {r.unit: r.norm for r in lines.collect()}
+    groups = {}
+    for r in L.link_units(lines).collect():
+        groups.setdefault(r.component_id, set()).add(own[r.id])
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(b + t for t in ("", "x", "xyz")) for b in bases)
