@@ -188,3 +188,37 @@ def test_alike_lines_of_a_block_meet_without_its_lead(spark, monkeypatch):
     for r in L.link_units(lines).collect():
         groups.setdefault(r.component_id, set()).add(own[r.id])
     assert sorted(map(sorted, groups.values())) == sorted(sorted(b + t for t in ("", "x", "xyz")) for b in bases)
+
+
+def test_sketches_keep_every_alike_pair(spark):
+    """What the sketches of two lines rule out is never alike by edit distances, and unlike lines are mostly ruled out."""
+    from quern.llm import line_dedup as L
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("etaoinsrhldcumpgyz0.é") for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    texts = []
+    for size in (1, 3, 8, 14, 15, 16, 17, 24, 39, 41, 60, 400):
+        for _ in range(3):
+            own = [rng.choice(words) for _ in range(size)]
+            texts.append(" ".join(own))
+            for share in (0.03, 0.1, 0.16):
+                chars = list(texts[-1])
+                for _ in range(max(1, int(share * len(chars)))):
+                    k = rng.randrange(len(chars))
+                    chars[k : k + 1] = rng.choice(["", "x", chars[k] + "e"])
+                texts.append("".join(chars))
+                texts.append(" ".join(rng.choice(words) if rng.random() < share else w for w in own))
+    lines = L.normalized_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    units = lines.select("unit").distinct()
+    sketches = L.line_sketches(lines, units).cache()
+    full = L.line_texts(lines, units).join(sketches.select("unit", *L.SKETCH), "unit").cache()
+    side = lambda x: full.select(*[F.col(c).alias(f"{c}_{x}") for c in full.columns])
+    both = side("a").join(side("b"), F.col("unit_a") < F.col("unit_b")).select(L._alike(0.85).alias("alike"), L._may_be_alike(0.85).alias("may"))
+    n = {(r.alike, r.may): r["count"] for r in both.groupBy("alike", "may").count().collect()}
+    assert n.get((True, False), 0) == 0 and n[True, True] > 50
+    assert n[False, False] > 10 * n[False, True]
+    # The join keeps the alike pairs too, whatever texts it lacks, in parts of a large key.
+    pairs = L._links_within(sketches.withColumn("key", F.lit(1)).withColumn("comp", F.col("unit")), 0.85, 20)
+    alike = side("a").join(side("b"), (F.col("unit_a") < F.col("unit_b")) & L._alike(0.85)).select(F.col("unit_a").alias("a"), F.col("unit_b").alias("b"))
+    got = {tuple(r) for r in pairs.collect()}
+    assert {tuple(r) for r in alike.collect()} <= got and len(got) < 2 * n[True, True]
